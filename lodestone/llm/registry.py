@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lodestone.llm import substring_dedup
+from lodestone.llm import bpe, media, substring_dedup, token_count
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op3_telephony_media": media.op3_telephony_media,
+        "op8_token_count": token_count.op8_token_count,
+        "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     }
 
 
