@@ -55,9 +55,10 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def count_blocks(docs: DataFrame, column: str = "text", size: int = BLOCK_BYTES) -> int:
-    """How many blocks of about ``size`` bytes the documents fill; one pass over one column."""
+    """How many blocks of about ``size`` bytes the documents fill; one pass over one column. Small tables have smaller
+    blocks, so that more than a few tasks share them."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return int(total // size) + 1
+    return int(max(total // size, min(64, total // (size // 64)))) + 1
 
 
 def in_blocks(docs: DataFrame, n: int, *columns: str) -> DataFrame:
