@@ -17,8 +17,6 @@ to four bytes have no 5-gram and no surprise, and only the base rules count; an
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +31,8 @@ MAX_REPEAT = 50
 WIDTH = 8.0
 #: No band is narrower than this to either side (bits a byte).
 LEAST = 0.25
-SYMBOLS = np.zeros(256, bool)
-SYMBOLS[list(b"#*$%&|<>")] = True
+#: Rows of discounts and bands, one a language, that may be broadcast.
+MAX_LANGS = 4096
 GRAMS = "block int, lang string, gram long, n long"
 
 
@@ -88,6 +86,11 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.groupBy("block").applyInArrow(_count, GRAMS)
 
 
+def _small(df: DataFrame, grams: DataFrame) -> DataFrame:
+    """df, which has one row for each language: broadcast while there are few languages, shuffled beyond that."""
+    return F.broadcast(df) if grams.select("lang").distinct().limit(MAX_LANGS + 1).count() <= MAX_LANGS else df
+
+
 def probabilities(grams: DataFrame) -> DataFrame:
     """lang, gram, logp (base 2) of every 5-gram: interpolated modified Kneser-Ney."""
     level = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -106,7 +109,7 @@ def probabilities(grams: DataFrame) -> DataFrame:
         ctx = one.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), *(F.count_if(x).alias(f"f{i}") for i, x in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))))
         same = F.col("l.lang").eqNullSafe(F.col("r.lang"))
         one = one.alias("l").join(ctx.alias("r"), same & (F.col("l.ctx") == F.col("r.ctx"))).select("l.lang", "gram", "n", "total", "f1", "f2", "f3")
-        one = one.alias("l").join(of.alias("r"), same).select("l.lang", "gram", "n", "total", "f1", "f2", "f3", "d1", "d2", "d3")
+        one = one.alias("l").join(_small(of, grams).alias("r"), same).select("l.lang", "gram", "n", "total", "f1", "f2", "f3", "d1", "d2", "d3")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         own, rest = (F.col("n") - d) / F.col("total"), (F.col("d1") * F.col("f1") + F.col("d2") * F.col("f2") + F.col("d3") * F.col("f3")) / F.col("total")
         one = one.select("lang", "gram", own.alias("own"), rest.alias("rest"))
@@ -182,7 +185,7 @@ def bands(scored: DataFrame) -> DataFrame:
     ok = scored.where(~_failed() & F.col("surprise").isNotNull())
     mid = ok.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("mid"))
     same = F.col("l.lang").eqNullSafe(F.col("r.lang"))
-    off = ok.alias("l").join(mid.alias("r"), same).select("l.lang", "mid", F.abs(F.col("surprise") - F.col("mid")).alias("off"))
+    off = ok.alias("l").join(_small(mid, scored).alias("r"), same).select("l.lang", "mid", F.abs(F.col("surprise") - F.col("mid")).alias("off"))
     wide = F.greatest(F.lit(LEAST), WIDTH * 1.4826 * F.percentile_approx("off", 0.5, 10_000))
     return off.groupBy("lang").agg(F.first("mid").alias("mid"), wide.alias("wide")).select("lang", (F.col("mid") - F.col("wide")).alias("low"), (F.col("mid") + F.col("wide")).alias("high"))
 
@@ -196,7 +199,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     scored = c.stored(scores(docs))
     b = bands(scored)
     fine = F.coalesce(F.col("surprise").between(F.col("r.low"), F.col("r.high")), F.lit(True))
-    return scored.alias("l").join(b.alias("r"), F.col("l.lang").eqNullSafe(F.col("r.lang")), "left").select("l.*", _failed().alias("base_failed"), (~_failed() & fine).alias("kept"))
+    return scored.alias("l").join(_small(b, scored).alias("r"), F.col("l.lang").eqNullSafe(F.col("r.lang")), "left").select("l.*", _failed().alias("base_failed"), (~_failed() & fine).alias("kept"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, media, substring_dedup, token_count
+from lodestone.llm import bpe, media, near_dedup, quality_rules, substring_dedup, token_count
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op3_telephony_media": media.op3_telephony_media,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_token_count": token_count.op8_token_count,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
+        "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
 
 
