@@ -126,7 +126,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     return found.where("border is null").select("a", "b").unionAll(over).distinct()
 
 
-def stored_order(rows: DataFrame) -> DataFrame:
+def ordered(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
 
