@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, media, near_dedup, quality_rules, substring_dedup, token_count
+from lodestone.llm import bpe, byte_dedup, license_scan, media, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_suffix_array_dedup": byte_dedup.op2_suffix_array_dedup,
         "op3_telephony_media": media.op3_telephony_media,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_token_count": token_count.op8_token_count,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
