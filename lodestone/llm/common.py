@@ -63,7 +63,24 @@ def count_blocks(docs: DataFrame, column: str = "text", size: int = BLOCK_BYTES)
 
 def in_blocks(docs: DataFrame, n: int, *columns: str) -> DataFrame:
     """doc_id, text and the given columns, with the block that each document falls in: by a hash, so blocks are even."""
-    return docs.select("doc_id", "text", *columns, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
+    return docs.select("doc_id", "text", *columns, F.pmod(row_key(), F.lit(n)).cast("int").alias("block"))
+
+
+def row_key() -> F.Column:
+    """Names a row by its id and text, also where ids repeat or are null."""
+    return F.xxhash64("doc_id", "text")
+
+
+#: Rejected rows whose keys may be broadcast; more are joined by a shuffle.
+MAX_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents, every column kept, whose row_key() isn't in rejected (at)."""
+    rejected = stored(rejected.select("at").distinct())
+    if rejected.limit(MAX_KEYS + 1).count() <= MAX_KEYS:
+        rejected = F.broadcast(rejected)
+    return docs.join(rejected.select(F.col("at").alias("__at")), row_key() == F.col("__at"), "left_anti")
 
 
 def utf8(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -69,12 +69,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(u))
             names.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
             signs.append(minhash(u) if len(u) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "name", "sign"])
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "at", "n_shingles", "name", "sign"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, name (of the shingle set) and sign of every row."""
-    return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, name binary, sign binary")
+    """doc_id, at (the row's key), n_shingles, name (of the shingle set) and sign of every row."""
+    return docs.select("doc_id", "text", c.row_key().alias("at")).mapInArrow(_sign, "doc_id long, at long, n_shingles long, name binary, sign binary")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+    """doc_id, at, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = c.stored(signatures(docs))
     classes = c.stored(signed.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign")))
@@ -170,8 +170,13 @@ def components(docs: DataFrame) -> DataFrame:
         reps = reps.join(again, reps.label == again.v, "left").select("name", F.coalesce(again.label, reps.label).alias("label"))
     out = signed.join(reps, "name", "left")
     named = F.coalesce("label", "doc_id")
-    return out.select("doc_id", "n_shingles", named.alias("component_id"), F.coalesce(F.col("doc_id") == named, named.isNull()).alias("kept"))
+    return out.select("doc_id", "at", "n_shingles", named.alias("component_id"), F.coalesce(F.col("doc_id") == named, named.isNull()).alias("kept"))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents, every column kept, of which each component keeps one."""
+    return c.without(docs, components(docs).where("not kept"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(c.table(spark, sf_dir, "documents"))
+    return components(c.table(spark, sf_dir, "documents")).drop("at")

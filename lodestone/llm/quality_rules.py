@@ -140,7 +140,7 @@ def base_rules(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), len(chars), len(text) - len(text.translate(None, b"#*$%&|<>")), len(lines) - len(set(lines)), repeat
 
 
-SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double"
+SCORED = "doc_id long, at long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double"
 
 
 def _surprise(t: pa.Table, told: pa.Table) -> np.ndarray:
@@ -168,13 +168,13 @@ def _score(t: pa.Table, told: pa.Table) -> pa.Table:
     data, off = c.utf8(t["text"])
     base = np.array([base_rules(data[s:e].tobytes()) for s, e in zip(off, off[1:], strict=False)], np.int64).reshape(-1, 5)
     s = _surprise(t, told)
-    return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "lang": t["lang"].cast(pa.string()), **{x: base[:, i] for i, x in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}, "surprise": pa.array(s, mask=np.isnan(s))})
+    return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "at": t["at"], "lang": t["lang"].cast(pa.string()), **{x: base[:, i] for i, x in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}, "surprise": pa.array(s, mask=np.isnan(s))})
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """A row of SCORED for every document (columns doc_id, text, lang)."""
     n = c.count_blocks(docs)
-    rows = c.in_blocks(docs, n, "lang")
+    rows = c.in_blocks(docs, n, "lang", c.row_key().alias("at"))
     grams = c.stored(count(rows))
     told = grams.alias("l").join(probabilities(grams).alias("r"), F.col("l.lang").eqNullSafe(F.col("r.lang")) & (F.col("l.gram") == F.col("r.gram"))).select("l.block", "l.lang", "l.gram", "r.logp")
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score, SCORED)
@@ -202,6 +202,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return scored.alias("l").join(_small(b, scored).alias("r"), F.col("l.lang").eqNullSafe(F.col("r.lang")), "left").select("l.*", _failed().alias("base_failed"), (~_failed() & fine).alias("kept"))
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents, every column kept, that no rule rejects."""
+    return c.without(docs, verdicts(docs).where("not kept"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = verdicts(c.table(spark, sf_dir, "documents"))
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "surprise")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, byte_dedup, license_scan, media, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count
+from lodestone.llm import bpe, byte_dedup, license_scan, media, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_count
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_telephony_media": media.op3_telephony_media,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_license_scan": license_scan.op5_license_scan,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_token_count": token_count.op8_token_count,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
