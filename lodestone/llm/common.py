@@ -75,11 +75,15 @@ def row_key() -> F.Column:
 MAX_KEYS = 1_000_000
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """A stored table of distinct long keys, marked for broadcast if it has MAX_KEYS rows at most: then what it is joined
+    with (texts) stays where it is. A larger table joins by a shuffle, with the same result."""
+    return F.broadcast(keys) if keys.limit(MAX_KEYS + 1).count() <= MAX_KEYS else keys
+
+
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents, every column kept, whose row_key() isn't in rejected (at)."""
-    rejected = stored(rejected.select("at").distinct())
-    if rejected.limit(MAX_KEYS + 1).count() <= MAX_KEYS:
-        rejected = F.broadcast(rejected)
+    rejected = few(stored(rejected.select("at").distinct()))
     return docs.join(rejected.select(F.col("at").alias("__at")), row_key() == F.col("__at"), "left_anti")
 
 
@@ -132,6 +136,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """What mix() made h from."""
+    h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
+    h = h * np.uint64(pow(0x94D049BB133111EB, -1, 2**64))
+    h = h ^ (h >> np.uint64(27)) ^ (h >> np.uint64(54))
+    h = h * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 2**64))
+    return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
     """Sums before each place of values[i] * R**i: the polynomial hash of any stretch is the difference of two."""
     up, _ = powers(len(values) + 1)

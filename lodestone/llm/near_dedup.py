@@ -156,7 +156,8 @@ def components(docs: DataFrame) -> DataFrame:
     signed = c.stored(signatures(docs))
     classes = c.stored(signed.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign")))
     pairs = c.stored(candidates(classes))
-    bodies = c.stored(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    wanted = c.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    bodies = c.stored(docs.join(c.few(wanted), "doc_id", "left_semi"))
     _, tree = forest(pairs)
     labels, _ = forest(confirmed(tree, bodies))
     la, lb = (labels.select(F.col("v").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")

@@ -1,22 +1,24 @@
 """Quality rules with a modified Kneser-Ney model.
 
-The model is over 5-grams of bytes, one for each language. Blocks of documents send each distinct 5-gram once with its
-count; Spark adds the counts up, derives the lower orders (by how many different bytes stand in front of a gram),
-discounts from counts of counts, and probabilities order by order. A gram of up to five bytes is its own 40-bit key, so
-nothing is lost to hashing. Each block then gets back the log-probabilities of just the grams that it holds, as sorted
-arrays, and scores its documents by binary search. What is counted, shuffled and scored grows with the input; no model
-is broadcast.
+The model is over 4-grams of bytes, one for each language. Each partition counts its distinct 4-grams and sends them
+once, as sorted hash arrays cut by range; Spark adds the counts up, derives the lower orders (by how many different
+bytes stand in front of a gram), discounts from counts of counts, and probabilities order by order. The hash is a
+bijection of the 32 bits of a gram, so nothing is lost. Blocks of documents then ask for just the grams that they hold,
+get back sorted arrays of log-probabilities, and score their documents by binary search. What is counted, shuffled and
+scored grows with the input; no model is broadcast.
 
 A document is rejected if its mean surprise (bits a byte) lies outside its language's band: median -+ WIDTH robust
 deviations of all its language's documents that pass the base rules; or by the base rules: under 50 words, or over
 half of the words in repeated 3-word windows.
 
 Defined cases: null and empty texts have no words and fail; a null language is a language of its own; texts of one
-to four bytes have no 5-gram and no surprise, and only the base rules count; an empty table gives an empty result.
+to three bytes have no 4-gram and no surprise, and only the base rules count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,31 +26,33 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common as c
 
-ORDER = 5
+ORDER = 4
 MIN_WORDS = 50
 MAX_REPEAT = 50
 #: Robust standard deviations from the median to either side.
-WIDTH = 8.0
+WIDTH = 12.0
 #: No band is narrower than this to either side (bits a byte).
-LEAST = 0.25
+LEAST = 0.5
 #: Rows of discounts and bands, one a language, that may be broadcast.
 MAX_LANGS = 4096
-GRAMS = "block int, lang string, gram long, n long"
+COUNTED = "bucket int, lang string, keys binary, counts binary"
+LEVEL = "bucket int, lang string, gram long, n long"
+ASKED = "bucket int, block int, lang string, keys binary"
+TOLD = "block int, lang string, bucket int, keys binary, logp binary"
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """The 5-grams that start at each byte."""
+    """The 4-grams that start at each byte."""
     if len(data) < ORDER:
-        return np.zeros(0, np.int64)
-    g = np.zeros(len(data) - ORDER + 1, np.int64)
+        return np.zeros(0, np.uint64)
+    g = np.zeros(len(data) - ORDER + 1, np.uint64)
     for k in range(ORDER):
-        g <<= 8
+        g <<= np.uint64(8)
         g |= data[k : len(data) - ORDER + 1 + k]
     return g
 
 
-def _by_lang(t: pa.Table) -> list[tuple[str | None, np.ndarray]]:
-    langs = t["lang"].to_pylist()
+def _by_lang(langs: list[str | None]) -> list[tuple[str | None, np.ndarray]]:
     where: dict[str | None, list[int]] = {}
     for i, x in enumerate(langs):
         where.setdefault(x, []).append(i)
@@ -62,63 +66,96 @@ def _pieces(off: np.ndarray, rows: np.ndarray, size: int = 2 << 20) -> list[np.n
 
 
 def _gather(data: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All 5-grams of the rows, none over a text's end; how many each row has; where each row's begin."""
+    """All 4-grams of the rows, none over a text's end; how many each row has; where each row's begin."""
     parts = [_grams(data[off[i] : off[i + 1]]) for i in rows]
     n = np.array([len(p) for p in parts])
     return np.concatenate(parts), n, np.concatenate([[0], np.cumsum(n)[:-1]])
 
 
-def _count(t: pa.Table) -> pa.Table:
-    data, off = c.utf8(t["text"])
-    langs, grams, counts = [], [], []
-    for lang, rows in _by_lang(t):
-        parts = [np.unique(_gather(data, off, p)[0], return_counts=True) for p in _pieces(off, rows)]
-        g, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        g, inv = np.unique(g, return_inverse=True)
-        langs += [lang] * len(g)
-        grams.append(g)
-        counts.append(np.bincount(inv, n, len(g)).astype(np.int64))
-    return pa.table({"block": pa.array([t["block"][0].as_py()] * len(langs), pa.int32()), "lang": pa.array(langs, pa.string()), "gram": np.concatenate(grams), "n": np.concatenate(counts)})
+def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the sums of their counts."""
+    k, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(inv, np.concatenate(counts), len(k)).astype(np.int64)
+
+
+def _distinct(data: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.unique(_gather(data, off, p)[0], return_counts=True) for p in _pieces(off, rows)]
+    g, n = _sum([p[0] for p in parts], [p[1] for p in parts])
+    h = c.mix(g)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """Distinct 5-grams of each block and language, with counts."""
-    return docs.groupBy("block").applyInArrow(_count, GRAMS)
+def count(docs: DataFrame, n: int) -> DataFrame:
+    """bucket, lang, gram and n of every 4-gram of the corpus, from what each partition has counted (text, lang)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            data, off = c.utf8(b.column(0))
+            for lang, rows in _by_lang(b.column(1).to_pylist()):
+                new = _distinct(data, off, rows)
+                found[lang] = _sum(*zip(found[lang], new, strict=True)) if lang in found else new
+        rows = []
+        for lang, (keys, counts) in found.items():
+            at = c.cut(keys, n)
+            rows += [(b, lang, c.pack(keys[s:e]), c.pack_any(counts[s:e])) for b, (s, e) in enumerate(zip(at, at[1:], strict=False)) if e > s]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "lang", "keys", "counts"])
 
-def _small(df: DataFrame, grams: DataFrame) -> DataFrame:
+    def add(t: pa.Table) -> pa.Table:
+        keys, counts = [c.unpack(x) for x in t["keys"].to_pylist()], [c.unpack_any(x) for x in t["counts"].to_pylist()]
+        out = []
+        for lang, rows in _by_lang(t["lang"].to_pylist()):
+            k, m = _sum([keys[i] for i in rows], [counts[i] for i in rows])
+            out.append(pa.table({"bucket": pa.array(np.full(len(k), t["bucket"][0].as_py(), np.int32)), "lang": pa.array([lang] * len(k), pa.string()), "gram": c.unmix(k).astype(np.int64), "n": m}))
+        return pa.concat_tables(out)
+
+    return docs.select("text", "lang").mapInArrow(run, COUNTED).groupBy("bucket").applyInArrow(add, LEVEL)
+
+
+def _small(df: DataFrame, rows: DataFrame) -> DataFrame:
     """df, which has one row for each language: broadcast while there are few languages, shuffled beyond that."""
-    return F.broadcast(df) if grams.select("lang").distinct().limit(MAX_LANGS + 1).count() <= MAX_LANGS else df
+    return F.broadcast(df) if rows.select("lang").distinct().limit(MAX_LANGS + 1).count() <= MAX_LANGS else df
+
 
+def _clip(x: F.Column, most: int) -> F.Column:
+    return F.greatest(F.lit(0.05 * most), F.least(F.lit(0.95 * most), x))
 
-def probabilities(grams: DataFrame) -> DataFrame:
-    """lang, gram, logp (base 2) of every 5-gram: interpolated modified Kneser-Ney."""
-    level = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    orders = {ORDER: level}
-    for k in range(ORDER - 1, 0, -1):
-        level = level.groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
-        orders[k] = level
+
+def _ratio(a: str, b: str) -> F.Column:
+    return F.when(F.col(a) > 0, F.col(b) / F.col(a)).otherwise(F.lit(0.0))
+
+
+def probabilities(top: DataFrame) -> DataFrame:
+    """bucket, lang, gram and logp (base 2) of every 4-gram of a stored LEVEL table: interpolated modified Kneser-Ney."""
+    same = F.col("l.lang").eqNullSafe(F.col("r.lang"))
+    orders = {ORDER: top}
+    for k in range(ORDER - 1, 0, -1):  # continuation counts
+        orders[k] = orders[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
+    kinds = [orders[k].groupBy("lang").agg(F.lit(k).alias("k"), *(F.count_if(F.col("n") == i).cast("double").alias(f"k{i}") for i in (1, 2, 3, 4))) for k in orders]
+    of = kinds[0]
+    for x in kinds[1:]:
+        of = of.unionAll(x)
+    y = F.when(F.col("k1") + F.col("k2") > 0, F.col("k1") / (F.col("k1") + 2 * F.col("k2"))).otherwise(F.lit(0.5))
+    of = of.withColumn("y", y).select("lang", "k", _clip(1 - 2 * F.col("y") * _ratio("k1", "k2"), 1).alias("d1"), _clip(2 - 3 * F.col("y") * _ratio("k2", "k3"), 2).alias("d2"), _clip(3 - 4 * F.col("y") * _ratio("k3", "k4"), 3).alias("d3"))
+    of = _small(c.stored(of), top)
     p = None
     for k in range(1, ORDER + 1):
+        keep = ["lang", "gram", *(["bucket"] if k == ORDER else [])]
         one = orders[k].withColumn("ctx", F.shiftright("gram", 8))
-        of = one.groupBy("lang").agg(*(F.count_if(F.col("n") == i).cast("double").alias(f"k{i}") for i in (1, 2, 3, 4)))
-        y = F.when(F.col("k1") + F.col("k2") > 0, F.col("k1") / (F.col("k1") + 2 * F.col("k2"))).otherwise(F.lit(0.5))
-        ratio = lambda a, b: F.when(F.col(a) > 0, F.col(b) / F.col(a)).otherwise(F.lit(0.0))
-        clip = lambda x, most: F.greatest(F.lit(0.05 * most), F.least(F.lit(0.95 * most), x))
-        of = of.select("lang", y.alias("y"), "k1", "k2", "k3", "k4").select("lang", clip(1 - 2 * F.col("y") * ratio("k1", "k2"), 1).alias("d1"), clip(2 - 3 * F.col("y") * ratio("k2", "k3"), 2).alias("d2"), clip(3 - 4 * F.col("y") * ratio("k3", "k4"), 3).alias("d3"))
         ctx = one.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), *(F.count_if(x).alias(f"f{i}") for i, x in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))))
-        same = F.col("l.lang").eqNullSafe(F.col("r.lang"))
-        one = one.alias("l").join(ctx.alias("r"), same & (F.col("l.ctx") == F.col("r.ctx"))).select("l.lang", "gram", "n", "total", "f1", "f2", "f3")
-        one = one.alias("l").join(_small(of, grams).alias("r"), same).select("l.lang", "gram", "n", "total", "f1", "f2", "f3", "d1", "d2", "d3")
+        one = one.alias("l").join(ctx.alias("r"), same & (F.col("l.ctx") == F.col("r.ctx"))).select(*(f"l.{x}" for x in keep), "n", "total", "f1", "f2", "f3")
+        one = one.alias("l").join(of.where(F.col("k") == k).alias("r"), same).select(*(f"l.{x}" for x in keep), "n", "total", "f1", "f2", "f3", "d1", "d2", "d3")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         own, rest = (F.col("n") - d) / F.col("total"), (F.col("d1") * F.col("f1") + F.col("d2") * F.col("f2") + F.col("d3") * F.col("f3")) / F.col("total")
-        one = one.select("lang", "gram", own.alias("own"), rest.alias("rest"))
+        one = one.select(*keep, own.alias("own"), rest.alias("rest"))
         if p is None:
-            p = one.select("lang", "gram", (F.col("own") + F.col("rest") / 256).alias("p"))
+            p = one.select(*keep, (F.col("own") + F.col("rest") / 256).alias("p"))
         else:
             low = F.col("l.gram").bitwiseAND((1 << 8 * (k - 1)) - 1)
-            p = one.alias("l").join(p.alias("r"), same & (low == F.col("r.gram"))).select("l.lang", F.col("l.gram").alias("gram"), (F.col("own") + F.col("rest") * F.col("r.p")).alias("p"))
-    return p.select("lang", "gram", F.log2("p").alias("logp"))
+            p = one.alias("l").join(p.alias("r"), same & (low == F.col("r.gram"))).select(*(f"l.{x}" for x in keep), (F.col("own") + F.col("rest") * F.col("r.p")).alias("p"))
+    return p.select("bucket", "lang", "gram", F.log2("p").alias("logp"))
 
 
 def base_rules(text: bytes) -> tuple[int, int, int, int, int]:
@@ -143,21 +180,50 @@ def base_rules(text: bytes) -> tuple[int, int, int, int, int]:
 SCORED = "doc_id long, at long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double"
 
 
+def _ask(t: pa.Table, n: int) -> pa.Table:
+    data, off = c.utf8(t["text"])
+    rows = []
+    for lang, some in _by_lang(t["lang"].to_pylist()):
+        keys = _distinct(data, off, some)[0]
+        at = c.cut(keys, n)
+        rows += [(b, t["block"][0].as_py(), lang, c.pack(keys[s:e])) for b, (s, e) in enumerate(zip(at, at[1:], strict=False)) if e > s]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.table([pa.array(x, k) for x, k in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["bucket", "block", "lang", "keys"])
+
+
+def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Each list of keys with its log-probabilities, from this range's sorted hash array."""
+    model = {}
+    for lang, rows in _by_lang(known["lang"].to_pylist()):
+        part = known.take(rows)
+        h = c.mix(part["gram"].to_numpy().astype(np.uint64))
+        order = np.argsort(h)
+        model[lang] = h[order], part["logp"].to_numpy()[order].astype(np.float32)
+    told = []
+    for lang, keys in zip(asked["lang"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+        h, logp = model[lang]
+        told.append(c.pack_any(logp[np.searchsorted(h, c.unpack(keys))]))
+    return pa.table({"block": asked["block"], "lang": asked["lang"].cast(pa.string()), "bucket": asked["bucket"], "keys": asked["keys"].cast(pa.binary()), "logp": pa.array(told, pa.binary())})
+
+
 def _surprise(t: pa.Table, told: pa.Table) -> np.ndarray:
     data, off = c.utf8(t["text"])
     out = np.full(t.num_rows, np.nan)
-    lang, gram, logp = told["lang"].to_pylist(), told["gram"].to_numpy(), told["logp"].to_numpy()
-    number = {x: i for i, x in enumerate(dict.fromkeys(lang))}
-    which = np.array([number[x] for x in lang], np.int64)
-    for x, rows in _by_lang(t):
-        mine = which == number.get(x, -1)
-        order = np.argsort(gram[mine])
-        keys, values = gram[mine][order], logp[mine][order]
+    told = told.sort_by("bucket")
+    lists = {x: told.take(rows) for x, rows in _by_lang(told["lang"].to_pylist())}
+    for x, rows in _by_lang(t["lang"].to_pylist()):
+        if x not in lists:
+            continue
+        keys = np.concatenate([c.unpack(b) for b in lists[x]["keys"].to_pylist()])
+        values = np.concatenate([c.unpack_any(b) for b in lists[x]["logp"].to_pylist()]).astype(float)
+        back = c.unmix(keys)
+        order = np.argsort(back)
+        back, values = back[order], values[order]
         for part in _pieces(off, rows):
             g, n, first = _gather(data, off, part)
             some = n > 0
             if len(g):
-                bits = -np.add.reduceat(values[np.searchsorted(keys, g)], first[some])
+                bits = -np.add.reduceat(values[np.searchsorted(back, g)], first[some])
                 out[part[some]] = bits / n[some]
     return out
 
@@ -174,9 +240,10 @@ def _score(t: pa.Table, told: pa.Table) -> pa.Table:
 def scores(docs: DataFrame) -> DataFrame:
     """A row of SCORED for every document (columns doc_id, text, lang)."""
     n = c.count_blocks(docs)
+    model = probabilities(c.stored(count(docs, n)))
     rows = c.in_blocks(docs, n, "lang", c.row_key().alias("at"))
-    grams = c.stored(count(rows))
-    told = grams.alias("l").join(probabilities(grams).alias("r"), F.col("l.lang").eqNullSafe(F.col("r.lang")) & (F.col("l.gram") == F.col("r.gram"))).select("l.block", "l.lang", "l.gram", "r.logp")
+    asked = rows.groupBy("block").applyInArrow(lambda t: _ask(t, n), ASKED)
+    told = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_tell, TOLD)
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score, SCORED)
 
 
