@@ -5,7 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.profile import CONTINUING, DEFAULT, Profile
@@ -19,6 +20,11 @@ SUB_ITEM = r"^\(([A-Za-z0-9]+)\)\s*(.*)"
 NUMBER = r"(?i)^\s*[+-]?(?:(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:e[+-]?[0-9](?:_?[0-9])*)?|inf|infinity|nan)\s*$"
 
 
+def by_stream() -> WindowSpec:
+    """Paragraphs of a stream in order. (A function, as windows need a running session.)"""
+    return W.partitionBy("stream").orderBy("idx")
+
+
 def upper_only(c: Column) -> Column:
     """At least one upper-case letter and no lower-case one."""
     return c.rlike(r"\p{Lu}") & ~c.rlike(r"\p{Ll}")

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as t
 from lodestone.functions.profile import DEFAULT, Profile
 
-BY = W.partitionBy("stream").orderBy("idx")
 
 
 def reindexed(df: DataFrame) -> DataFrame:
     """Numbers run from 0 without gaps again."""
-    return df.withColumn("idx", F.row_number().over(BY).cast("bigint") - 1)
+    return df.withColumn("idx", F.row_number().over(t.by_stream()).cast("bigint") - 1)
 
 
 def content_pages(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
@@ -39,8 +38,8 @@ def _page_breaks(df: DataFrame, dropped: DataFrame | None, p: Profile) -> DataFr
         alive = F.lit(True)
     stop = F.when(alive & (c == p.forward), F.col("idx")).when(alive & (c == p.reverse), F.col("idx") - 1)
     header = F.lower(c).contains("article") & t.upper_only(c) & alive
-    rows = df.withColumn("stop", F.coalesce(F.last(stop, ignorenulls=True).over(BY), F.lit(99)))
-    rows = rows.withColumn("two", F.lead("content").over(BY))
+    rows = df.withColumn("stop", F.coalesce(F.last(stop, ignorenulls=True).over(t.by_stream()), F.lit(99)))
+    rows = rows.withColumn("two", F.lead("content").over(t.by_stream()))
     hits = rows.where(header & (F.col("idx") > F.col("stop")) & F.col("two").isNotNull()).select("stream", (F.col("stop") - 1).alias("at"), (F.col("idx") + 1).alias("drop"), "two", (F.col("page") - 1).alias("to_page"))
     first = df.select("stream", F.col("idx").alias("at"), F.col("content").alias("one"))
     return hits.join(first, ["stream", "at"]).where(t.runs_over(F.col("one"), F.col("two")))

@@ -51,3 +51,20 @@ def change_summary(pairs: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(both, F.col("before"))), 6).alias("mean_before"), F.round(F.avg(F.when(both, F.col("after"))), 6).alias("mean_after"),
         F.count_if((F.col("after") <= 5) & F.coalesce(F.col("before") > 5, F.lit(True))).alias("promoted"),
     )
+
+
+def miss_details(judged: DataFrame, n: int, most: int = 10) -> DataFrame:
+    """The first ``most`` of judged (query_id, rank, match, ...) of queries with ground truth but no match up to n."""
+    r = first_ranks(judged)
+    missed = r.where(~F.col("skipped") & (F.col("first_rank").isNull() | (F.col("first_rank") > n))).select("query_id")
+    return judged.join(missed, "query_id", "left_semi").where(F.col("rank") <= most)
+
+
+def pass_rate(verdicts: DataFrame) -> DataFrame:
+    return verdicts.agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count("*").alias("total"))
+
+
+def same_answer(a: Column, b: Column) -> Column:
+    """A judge that needs no model: equal letters and digits, whatever the case and what stands between."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return plain(a) == plain(b)

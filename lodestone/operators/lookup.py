@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import get_close_matches
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,9 +57,9 @@ def prefix_lookup(requests: DataFrame, tables: DataFrame) -> DataFrame:
     """raw_id and markdown of tables (table_id, markdown): the exact one, else all whose id starts with it, in order."""
     r = requests.select("raw_id", t.normalized_table_id(F.col("raw_id")).alias("key")).distinct()
     exact = r.join(tables, r.key == tables.table_id).select("raw_id", "table_id", "markdown")
-    stem = F.regexp_extract("table_id", r"^Table[0-9]+\.[0-9]+", 0)  # every prefix request of an id shares its stem or is one
-    rest = r.join(exact, "raw_id", "left_anti").withColumn("stem", F.regexp_extract("key", r"^Table[0-9]+\.[0-9]+", 0))
-    near = rest.join(tables.withColumn("stem", stem), "stem").where(F.col("table_id").startswith(F.col("key"))).select("raw_id", "table_id", "markdown")
+    rest = r.join(exact, "raw_id", "left_anti")
+    starts = F.transform(F.sequence(F.lit(1), F.length("table_id")), lambda n: F.substring("table_id", F.lit(1), n))  # an id is short: an equal join instead of a product
+    near = tables.withColumn("start", F.explode(starts)).join(rest, F.col("start") == F.col("key")).select("raw_id", "table_id", "markdown")
     return exact.unionAll(near).groupBy("raw_id").agg(t.ordered_join(F.col("table_id"), F.col("markdown"), "\n\n").alias("markdown"))
 
 
@@ -97,3 +97,10 @@ def reference_links(df: DataFrame) -> DataFrame:
     """stream, idx, pos and ref of every table or section that a text names, tables first where both fit."""
     found = F.regexp_extract_all("content", F.lit(r"Table [0-9]+\.[0-9]+(?:\([A-Za-z0-9]+\))*|\b(?:9[0-9]|[1-9][0-9]{2})\.[0-9]+"), F.lit(0))
     return df.select("stream", "idx", F.posexplode(found).alias("pos", "ref")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def register(spark: SparkSession, rows: DataFrame, p: Profile = DEFAULT) -> None:
+    """For SQL: the view lodestone_articles and the table function chapter_of(article)."""
+    rows.where("kind = 'article'").select("stream", "article", "article_title").distinct().createOrReplaceTempView("lodestone_articles")
+    case = " ".join(f"WHEN article BETWEEN {a} AND {b} THEN {n}L" for n, _, a, b in p.chapters)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION chapter_of(article BIGINT) RETURNS TABLE (chapter BIGINT) RETURN SELECT CASE {case} END")

@@ -72,15 +72,22 @@ def tokens(c: Column) -> Column:
 
 
 def lexical(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """The k documents (doc_id, text) with the largest share of each query's (query_id, text) distinct words."""
+    """The k documents (doc_id, text) with the largest ``share`` of each query's (query_id, text) distinct words; score is
+    the share of the document's words. Words of the queries are few; counts are summed before the shuffle."""
     q = queries.select("query_id", tokens(F.col("text")).alias("qt")).where(F.size("qt") > 0)
     words = q.select("query_id", F.size("qt").alias("n"), F.explode("qt").alias("w"))
-    have = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("w"))
-    s = have.join(words, "w").groupBy("query_id", "doc_id").agg(F.round(F.count("*") / F.max("n"), 6).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("bigint")
+    have = docs.select("doc_id", tokens(F.col("text")).alias("dt")).select("doc_id", F.size("dt").alias("m"), F.explode("dt").alias("w"))
+    both = F.count("*")
+    s = have.join(words, "w").groupBy("query_id", "doc_id").agg(F.round(both / F.max("n"), 6).alias("share"), F.round(both / F.max("m"), 6).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("share"), "doc_id")).cast("bigint")
     return s.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def names_identifier(c: Column) -> Column:
+    """Does a query name a section or table by number?"""
+    return c.rlike(r"[0-9]+\.[0-9]+") | c.rlike(r"(?i)(section|table|article)\s+[0-9]")
+
+
 def unseen(hits: DataFrame) -> DataFrame:
     """hits (session_id, call_no, section_id, ...) without sections that an earlier call of the session has returned;
     several hits of one section in one call stay."""

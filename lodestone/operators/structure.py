@@ -6,7 +6,7 @@ by stream. Flat tables are the storage; ``tree`` nests them on demand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +14,6 @@ from lodestone.functions import text as t
 from lodestone.functions.profile import DEFAULT, Profile
 from lodestone.operators import tables
 
-BY = W.partitionBy("stream").orderBy("idx")
 SPLIT_AT = 3000
 
 
@@ -24,7 +23,7 @@ def classified(df: DataFrame) -> DataFrame:
     c = F.col("content")
     article = F.regexp_extract(c, t.ARTICLE, 1)
     rows = df.withColumn("new_article", F.when(article != "", article.cast("bigint")))
-    rows = rows.withColumns({"article": F.last("new_article", ignorenulls=True).over(BY), "article_title": F.last(F.when(article != "", F.trim(F.regexp_extract(c, t.ARTICLE, 2))), ignorenulls=True).over(BY), "visit": F.count("new_article").over(BY)})
+    rows = rows.withColumns({"article": F.last("new_article", ignorenulls=True).over(t.by_stream()), "article_title": F.last(F.when(article != "", F.trim(F.regexp_extract(c, t.ARTICLE, 2))), ignorenulls=True).over(t.by_stream()), "visit": F.count("new_article").over(t.by_stream())})
     kind = (
         F.when(F.col("new_article").isNotNull(), "article").when(F.col("article").isNull(), "preamble").when(F.col("article") == 100, "definition")
         .when(c.rlike(t.PART), "part").when(t.is_subsection_start(c), "section").when(c.rlike(r"^\*\*Table [0-9]+"), "table").otherwise("body")
@@ -40,7 +39,7 @@ def classified(df: DataFrame) -> DataFrame:
     return rows.withColumns({
         "part": last(F.when(is_part, F.struct(F.regexp_extract(c, t.PART, 1).alias("num"), F.when(title != "", F.trim(title)).alias("title")))),
         "section": last(F.when(opens, F.struct(F.regexp_extract(source, t.SECTION, 1).alias("id"), F.trim(F.regexp_extract(source, t.SECTION, 2)).alias("title"), F.col("page").alias("page")))),
-        "flush": F.sum(F.col("kind").isin("article", "part", "section").cast("int")).over(BY),
+        "flush": F.sum(F.col("kind").isin("article", "part", "section").cast("int")).over(t.by_stream()),
         "member": F.col("kind").isin("section", "body") | embedded,
     }).drop("new_article")
 
@@ -113,20 +112,33 @@ def tree_stats(rows: DataFrame, subs: DataFrame) -> DataFrame:
     return k.join(a, "stream", "left").join(s, "stream", "left").na.fill(0)
 
 
-def chunks(subs: DataFrame, items: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
-    """chunk_id, text and the subsection's metadata: whole subsections, or one chunk for each lettered group of long ones,
-    each with the front matter in front. Ids that repeat get _2, _3 and so on in document order."""
+def _lettered(x: Column) -> Column:
+    return F.regexp_replace(x["content"], r"^\s+", "").rlike(r"^\([A-Z]\)\s")
+
+
+def with_items(items: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
+    """stream, ord, front, items, full (the whole text) and split (is it long, and has it lettered items?)."""
     one = items.groupBy("stream", "ord").agg(F.max(F.when(F.col("n") == 0, F.col("content"))).alias("front"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "content")))).alias("items"))
     one = one.withColumn("front", F.coalesce("front", F.lit("")))
     full = F.array_join(F.concat(F.array("front"), F.transform("items", lambda x: x["content"])), "\n")
-    lettered = lambda x: F.regexp_replace(x["content"], r"^\s+", "").rlike(r"^\([A-Z]\)\s")
-    one = one.withColumns({"full": full, "split": (F.length(full) > split_at) & F.exists("items", lettered)})
-    whole = one.where("not split").select("stream", "ord", F.lit(0).cast("bigint").alias("g"), F.lit(None).cast("string").alias("letter"), F.col("full").alias("text"))
-    it = one.where("split").select("stream", "ord", "front", F.explode("items").alias("i")).withColumn("is", lettered(F.col("i")))
+    return one.withColumns({"full": full, "split": (F.length(full) > split_at) & F.exists("items", _lettered)})
+
+
+def letter_groups(one: DataFrame) -> DataFrame:
+    """The items (i) of what is to be split, with the number g of their lettered group; those before the first letter
+    belong to the first group."""
+    it = one.where("split").select("stream", "ord", "front", F.explode("items").alias("i")).withColumn("is", _lettered(F.col("i")))
     by = W.partitionBy("stream", "ord").orderBy("i.n")
-    it = it.withColumn("g", F.greatest(F.sum(F.col("is").cast("bigint")).over(by), F.lit(1)))
+    return it.withColumn("g", F.greatest(F.sum(F.col("is").cast("bigint")).over(by), F.lit(1)))
+
+
+def chunks(subs: DataFrame, items: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
+    """chunk_id, text and the subsection's metadata: whole subsections, or one chunk for each lettered group of long ones,
+    each with the front matter in front. Ids that repeat get _2, _3 and so on in document order."""
+    one = with_items(items, split_at)
+    whole = one.where("not split").select("stream", "ord", F.lit(0).cast("bigint").alias("g"), F.lit(None).cast("string").alias("letter"), F.col("full").alias("text"))
     letter = F.min_by(F.when(F.col("is"), F.substring(F.regexp_replace("i.content", r"^\s+", ""), 2, 1)), F.when(F.col("is"), F.col("i.n")))
-    cut = it.groupBy("stream", "ord", "front", "g").agg(letter.alias("letter"), t.ordered_join(F.col("i.n"), F.col("i.content"), "\n").alias("body"))
+    cut = letter_groups(one).groupBy("stream", "ord", "front", "g").agg(letter.alias("letter"), t.ordered_join(F.col("i.n"), F.col("i.content"), "\n").alias("body"))
     cut = cut.select("stream", "ord", "g", "letter", F.concat_ws("\n", "front", "body").alias("text"))
     rows = whole.unionByName(cut).join(subs.drop("paragraphs"), ["stream", "ord"]).where("chapter is not null")
     base = F.concat_ws("_", F.col("article").cast("string"), "section", "letter")

@@ -11,7 +11,6 @@ from lodestone.functions import text as t
 from lodestone.functions.profile import DEFAULT, Profile
 from lodestone.operators.cleaning import reindexed
 
-BY = W.partitionBy("stream").orderBy("idx")
 MAX_SCAN = 300
 #: A table's structure: header cells, rows of as many cells, notes.
 STRUCTURE = "struct<title:string,column_headers:array<string>,data_rows:array<array<string>>,footnotes:array<string>>"
@@ -20,24 +19,62 @@ STRUCTURE = "struct<title:string,column_headers:array<string>,data_rows:array<ar
 def _kinds(df: DataFrame, p: Profile) -> DataFrame:
     """Adds marker, title, tid and after (the raw next content)."""
     c = F.col("content")
-    return df.withColumns({"marker": t.is_page_marker(c, p), "title": t.is_table_title(c), "tid": t.table_id(c), "after": F.lead("content").over(BY)})
+    return df.withColumns({"marker": t.is_page_marker(c, p), "title": t.is_table_title(c), "tid": t.table_id(c), "after": F.lead("content").over(t.by_stream())})
 
 
 def table_starts(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     """stream, start, table_id, page: titles that aren't mere continuations and have short rows behind them."""
     rows = _kinds(df, p).where(~F.col("marker"))
-    short = F.sum((F.length("content") < 80).cast("int")).over(BY.rowsBetween(1, 5))
+    short = F.sum((F.length("content") < 80).cast("int")).over(t.by_stream().rowsBetween(1, 5))
     rows = rows.withColumn("short", F.coalesce(short, F.lit(0)))
     real = F.col("title") & ~F.col("after").eqNullSafe(F.lit("Continued")) & (F.col("short") >= 2)
     return rows.where(real).select("stream", F.col("idx").alias("start"), F.col("tid").alias("table_id"), "page")
 
 
+def continuations(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+    """stream, idx and table_id of the titles that only go on with a table from the page before."""
+    return _kinds(df, p).where(F.col("title") & (F.col("after") == "Continued")).select("stream", "idx", F.col("tid").alias("table_id"))
+
+
+def _until(df: DataFrame, stops: Column) -> tuple[DataFrame, Column]:
+    """The rows with next (the first stop among the MAX_SCAN rows behind) and end (where the scan ends anyway); and the
+    last row before either."""
+    rows = _kinds(df, DEFAULT)
+    ahead = t.by_stream().rowsBetween(1, MAX_SCAN)
+    end = F.least(F.col("idx") + MAX_SCAN, F.max("idx").over(W.partitionBy("stream")))
+    rows = rows.withColumn("next", F.min(F.when(stops, F.col("idx"))).over(ahead)).withColumn("end", end)
+    return rows, F.coalesce(F.col("next") - 1, F.col("end"))
+
+
+_HEAD = r"^[0-9]{2,}\.[0-9]+ [A-Z]"
+
+
+def raw_regions(df: DataFrame) -> DataFrame:
+    """The simpler rule for maintenance: from a title to the row before another table's title, a section or a Part."""
+    c = F.col("content")
+    other = F.when(F.col("title"), F.struct("tid", "idx"))
+    ahead = t.by_stream().rowsBetween(1, MAX_SCAN)
+    rows, _ = _until(df, (c.rlike(_HEAD) & (F.length(c) > 20)) | c.rlike(r"^Part [IVX]+\."))
+    # of the titles ahead, the first with another id than this row's: collected within the bounded frame only
+    rows = rows.withColumn("others", F.when(F.col("title"), F.collect_list(other).over(ahead)))
+    first = F.array_min(F.transform(F.filter("others", lambda x: x["tid"] != F.col("tid")), lambda x: x["idx"]))
+    stop = F.least(F.col("next"), first)
+    return rows.where(F.col("title") & ~F.col("after").eqNullSafe(F.lit("Continued"))).select("stream", F.col("idx").alias("start"), F.col("tid").alias("table_id"), F.coalesce(stop - 1, F.col("end")).alias("finish"))
+
+
+def leading_cells(df: DataFrame) -> DataFrame:
+    """How many short rows that don't look like a section follow each title."""
+    c = F.col("content")
+    rows, last = _until(df, (F.length(c) >= 80) | c.rlike(_HEAD))
+    return rows.where(F.col("title") & ~F.col("after").eqNullSafe(F.lit("Continued"))).select("stream", F.col("idx").alias("start"), F.col("tid").alias("table_id"), (last - F.col("idx")).alias("cells"))
+
+
 def table_regions(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     """stream, start, finish, table_id, page of every table."""
     starts = table_starts(df, p)
     rows = _kinds(df, p).join(starts.select("stream", F.col("start").alias("idx"), F.col("table_id").alias("own"), F.col("page").alias("own_page")), ["stream", "idx"], "left")
     s = F.col("own").isNotNull()
-    rows = rows.withColumns({"start": F.last(F.when(s, F.col("idx")), ignorenulls=True).over(BY), "region_id": F.last("own", ignorenulls=True).over(BY), "region_page": F.last("own_page", ignorenulls=True).over(BY)})
+    rows = rows.withColumns({"start": F.last(F.when(s, F.col("idx")), ignorenulls=True).over(t.by_stream()), "region_id": F.last("own", ignorenulls=True).over(t.by_stream()), "region_page": F.last("own_page", ignorenulls=True).over(t.by_stream())})
     rows = rows.where(F.col("start").isNotNull() & (F.col("idx") > F.col("start")) & (F.col("idx") < F.col("start") + MAX_SCAN) & ~F.col("marker"))
     pair = F.col("title") & (F.col("tid") == F.col("region_id")) & F.col("after").eqNullSafe(F.lit("Continued"))
     c = F.col("content")
@@ -63,7 +100,7 @@ def table_regions(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
 def _in_regions(df: DataFrame, regions: DataFrame, p: Profile) -> DataFrame:
     """Paragraphs of the regions, with the region's start and id; regions don't overlap, so a running last finds them."""
     r = regions.select("stream", F.col("start").alias("idx"), F.struct("start", "finish", F.col("table_id").alias("region_id")).alias("r"))
-    rows = _kinds(df, p).join(r, ["stream", "idx"], "left").withColumn("r", F.last("r", ignorenulls=True).over(BY))
+    rows = _kinds(df, p).join(r, ["stream", "idx"], "left").withColumn("r", F.last("r", ignorenulls=True).over(t.by_stream()))
     return rows.where(F.col("r").isNotNull() & (F.col("idx") <= F.col("r.finish"))).select("*", "r.start", "r.finish", "r.region_id").drop("r")
 
 
@@ -85,7 +122,7 @@ def interruptions(df: DataFrame, regions: DataFrame, p: Profile = DEFAULT) -> Da
     rows = _kinds(df, p)
     real = ~F.col("marker")
     near = lambda f, w: f(F.when(real, F.struct("idx", "content")), ignorenulls=True).over(w)
-    rows = rows.withColumns({"pre": near(F.last, BY.rowsBetween(W.unboundedPreceding, -1)), "post": near(F.first, BY.rowsBetween(1, W.unboundedFollowing))})
+    rows = rows.withColumns({"pre": near(F.last, t.by_stream().rowsBetween(W.unboundedPreceding, -1)), "post": near(F.first, t.by_stream().rowsBetween(1, W.unboundedFollowing))})
     pre = rows.select("stream", F.col("idx").alias("start"), "pre")
     post = rows.select("stream", F.col("idx").alias("finish"), "post")
     cut = regions.join(pre, ["stream", "start"]).join(post, ["stream", "finish"]).where(F.col("pre").isNotNull() & F.col("post").isNotNull())
@@ -115,6 +152,21 @@ def display(s: Column) -> Column:
     return F.array_join(F.concat(F.array(F.concat(F.lit("**"), s["title"], F.lit("**"))), body, F.transform(s["footnotes"], lambda x: F.concat(F.lit("> "), x))), "\n")
 
 
+def numbered(s: Column) -> Column:
+    """For review: rows with their number in front, notes as a list."""
+    head = F.array(F.concat(F.lit("| # "), _row(s["column_headers"])), F.concat(F.lit("| --- "), _row(F.transform(s["column_headers"], lambda x: F.lit("---")))))
+    rows = F.transform(s["data_rows"], lambda r, i: F.concat(F.lit("| "), (i + 1).cast("string"), F.lit(" "), _row(r)))
+    return F.array_join(F.concat(head, rows, F.transform(s["footnotes"], lambda x: F.concat(F.lit("- "), x))), "\n")
+
+
+def selected(regions: DataFrame, wanted: list[str]) -> DataFrame:
+    """Regions whose id holds a wanted string or is part of it; all of them without any. Adds ``wanted``."""
+    if not wanted:
+        return regions.withColumn("wanted", F.lit(None).cast("string"))
+    w = F.explode(F.array(*map(F.lit, wanted)))
+    return regions.withColumn("wanted", w).where(F.col("table_id").contains(F.col("wanted")) | F.col("wanted").contains(F.col("table_id")))
+
+
 def embedding_text(s: Column) -> Column:
     return F.when(F.size(s["column_headers"]) > 0, F.concat(s["title"], F.lit("\nColumns: "), F.array_join(s["column_headers"], " | "))).otherwise(s["title"])
 
@@ -197,7 +249,7 @@ def inferred(fragments: Column) -> Column:
     heads = F.when(first > 1, first - 1).otherwise(F.lit(2)).cast("int")
     data = F.slice(cells, heads + 1, 1_000_000)
     n = F.array_max(column_counts(heads, F.size(data)))
-    rows = F.transform(F.sequence(F.lit(0), F.size(data) / n - 1), lambda i: F.slice(data, (i * n + 1).cast("int"), n))
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size(data) / n).cast("int") - 1), lambda i: F.slice(data, (i * n + 1).cast("int"), n))
     s = F.struct(F.try_element_at(fragments, F.lit(1)).alias("title"), F.slice(cells, 1, n).alias("column_headers"), rows.alias("data_rows"), F.array().cast("array<string>").alias("footnotes"))
     return F.when((F.size(cells) > 2) & n.isNotNull() & (F.size(data) >= n), s)
 

@@ -108,8 +108,8 @@ passed AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY idx) -
 def runover(src: str, out: str) -> str:
     """CTEs that turn the stream ``src`` into ``out``."""
     return f"""{out}_s AS (SELECT *, coalesce(last_value(CASE WHEN content = {q(P.forward)} THEN idx WHEN content = {q(P.reverse)} THEN idx - 1 END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 99) AS stop, lead(content) OVER (PARTITION BY stream ORDER BY idx) AS two FROM {src}),
-{out}_h AS (SELECT h.stream, h.stop - 1 AS at, h.idx + 1 AS dropped, h.two, h.page - 1 AS to_page, a.content AS one FROM {out}_s h JOIN {src} a ON a.stream = h.stream AND a.idx = h.stop - 1 WHERE contains(lower(h.content), 'article') AND {up('h.content')} AND h.idx > h.stop AND h.two IS NOT NULL AND {runs_over('a.content', 'h.two')}),
-{out}_m AS (SELECT stream, at AS idx, arg_max(one || ' ' || two, dropped) AS content, arg_max(to_page, dropped) AS page FROM {out}_h GROUP BY ALL),
+{out}_h AS (SELECT h.stream, h.stop - 1 AS place, h.idx + 1 AS dropped, h.two, h.page - 1 AS to_page, a.content AS one FROM {out}_s h JOIN {src} a ON a.stream = h.stream AND a.idx = h.stop - 1 WHERE contains(lower(h.content), 'article') AND {up('h.content')} AND h.idx > h.stop AND h.two IS NOT NULL AND {runs_over('a.content', 'h.two')}),
+{out}_m AS (SELECT stream, place AS idx, arg_max(one || ' ' || two, dropped) AS content, arg_max(to_page, dropped) AS page FROM {out}_h GROUP BY ALL),
 {out}_g AS (SELECT DISTINCT stream, dropped AS idx FROM {out}_h),
 {out} AS (SELECT s.stream, row_number() OVER (PARTITION BY s.stream ORDER BY s.idx) - 1 AS idx, coalesce(x.content, s.content) AS content, coalesce(x.page, s.page) AS page FROM {src} s LEFT JOIN {out}_m x USING (stream, idx) LEFT JOIN {out}_g g USING (stream, idx) WHERE g.stream IS NULL OR x.stream IS NOT NULL)"""
 

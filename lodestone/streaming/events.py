@@ -46,3 +46,9 @@ def feedback_sink(path: str) -> Callable[[DataFrame, int], None]:
         rows.where(F.trim(F.coalesce("feedback_text", F.lit(""))) != "").withColumn("timestamp", F.current_timestamp()).write.mode("append").json(path)
 
     return write
+
+
+def unseen(hits: DataFrame, late: str = "400 days") -> DataFrame:
+    """The first hit of each section in a session (session_id, section_id, ts, ...), whichever call it comes with; the
+    store keeps a key until the watermark has passed it by ``late``."""
+    return hits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "section_id"])
