@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as t
 from lodestone.functions.profile import DEFAULT, Profile
 from lodestone.operators.cleaning import reindexed
+from lodestone.sources.shared import stored
 
 MAX_SCAN = 300
 #: A table's structure: header cells, rows of as many cells, notes.
@@ -222,8 +223,8 @@ def formatted(fragments: DataFrame, cache: DataFrame | None = None, rebuild: Col
 
 def table_pass(df: DataFrame, cache: DataFrame | None = None, rebuild: Column | None = None, p: Profile = DEFAULT) -> DataFrame:
     """The stream with every table as one paragraph at its start, once for each id, and cut sentences whole again."""
-    regions = table_regions(df, p)
-    cuts = interruptions(df, regions, p)
+    regions = stored(table_regions(df, p))
+    cuts = stored(interruptions(df, regions, p))
     built = formatted(table_fragments(df, regions, p), cache, rebuild)
     first = regions.withColumn("n", F.row_number().over(W.partitionBy("stream", "table_id").orderBy("start"))).where("n = 1").select("stream", "start")
     made = built.join(first, ["stream", "start"]).select("stream", F.col("start").alias("idx"), "formatted")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import sessions as ss
 from lodestone.plans.registry import query
 from lodestone.sources.overlay import read
+from lodestone.sources.shared import folder
 from lodestone.streaming import events as ev
 
 
@@ -98,15 +97,9 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss.sessions_of(read(spark, sf_dir, "events"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-checkpoints"
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, sf_dir: str, made, schema: str, mode: str) -> DataFrame:
     """The events table as a stream, run over all that is there; the sink's rows."""
-    at = _shared(spark)
+    at = folder(spark)
     source = ev.source(spark, f"{sf_dir}/events.parquet*")
     ev.to_table(made(source), f"{at}/checkpoint", lambda rows, batch: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/rows"), mode).awaitTermination()
     return spark.read.schema(schema).parquet(f"{at}/rows")

@@ -12,6 +12,7 @@ from lodestone.operators import tables as tb
 from lodestone.plans import oracle as o
 from lodestone.plans.registry import query
 from lodestone.sources.overlay import paragraphs
+from lodestone.sources.shared import stored
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +112,8 @@ def table_page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tabled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Rows and subsections of the stream behind the table pass."""
-    rows = st.classified(tb.table_pass(paragraphs(spark, sf_dir)))
-    return rows, st.subsections(rows)
+    rows = stored(st.classified(tb.table_pass(stored(paragraphs(spark, sf_dir)))))
+    return rows, stored(st.subsections(rows))
 
 
 #: ``rows`` and what is built on it, read from the stream behind the table pass.

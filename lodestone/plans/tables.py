@@ -9,11 +9,12 @@ from lodestone.operators import tables as tb
 from lodestone.plans import oracle as o
 from lodestone.plans.registry import query
 from lodestone.sources.overlay import paragraphs, read
+from lodestone.sources.shared import stored
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = paragraphs(spark, sf_dir)
-    return df, tb.table_regions(df)
+    return df, stored(tb.table_regions(df))
 
 
 @query("table_starts", o.sql("SELECT * FROM starts", "starts"))
@@ -28,7 +29,7 @@ def table_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_regions", o.sql("SELECT * FROM regions", "regions"))
 def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regions(spark, sf_dir)[1]
+    return tb.table_regions(paragraphs(spark, sf_dir))
 
 
 @query("raw_table_regions", o.sql(f"""SELECT s.stream, s.idx AS start, s.tid AS table_id, coalesce(min(x.idx) - 1, any_value(s.last)) AS finish
@@ -66,15 +67,15 @@ def table_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired(fragments: Column) -> Column:
-    cells = F.transform(F.slice(fragments, 2, 1_000_000), lambda x: F.trim(F.replace(x, F.lit("|"), F.lit("/"))))
+    cells = F.transform(F.slice(fragments, 2, 1_000_000), lambda x: F.trim(x))
     data = F.slice(cells, 3, 1_000_000)
     n = F.floor(F.size(data) / 2).cast("int")
     rows = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(data, i * 2 + 1, 2))
     notes = F.slice(data, n * 2 + 1, 1)
-    return F.struct(F.trim(F.replace(F.element_at(fragments, 1), F.lit("|"), F.lit("/"))).alias("title"), F.slice(cells, 1, 2).alias("column_headers"), rows.alias("data_rows"), notes.alias("footnotes"))
+    return F.struct(F.trim(F.replace(F.element_at(fragments, 1), F.lit("*"), F.lit(""))).alias("title"), F.slice(cells, 1, 2).alias("column_headers"), rows.alias("data_rows"), notes.alias("footnotes"))
 
 
-PAIRED = """cleancells AS (SELECT stream, start, table_id, trim(replace(fragments[1], '|', '/')) AS title, list_transform(fragments[2:], lambda x: trim(replace(x, '|', '/'))) AS cells FROM fragments WHERE len(fragments) > 4),
+PAIRED = """cleancells AS (SELECT stream, start, table_id, trim(replace(fragments[1], '*', '')) AS title, list_transform(fragments[2:], lambda x: trim(x)) AS cells FROM fragments WHERE len(fragments) > 4),
 paired AS (SELECT stream, start, table_id, title, cells[1:2] AS heads, list_transform(range((len(cells) - 2) // 2), lambda i: [cells[2 * i + 3], cells[2 * i + 4]]) AS data, CASE WHEN (len(cells) - 2) % 2 = 1 THEN cells[-1:] ELSE [] END AS notes FROM cleancells)"""
 ROW = "'| ' || array_to_string({}, ' | ') || ' |'"
 RENDERED = f"'**' || title || '**' || chr(10) || chr(10) || {ROW.format('heads')} || chr(10) || '| --- | --- |' || array_to_string(list_transform(data, lambda r: chr(10) || {ROW.format('r')}), '') || CASE WHEN len(notes) > 0 THEN chr(10) || chr(10) || array_to_string(list_transform(notes, lambda n: '> ' || n), chr(10)) ELSE '' END"
@@ -83,7 +84,7 @@ RENDERED = f"'**' || title || '**' || chr(10) || chr(10) || {ROW.format('heads')
 def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream, start, table_id, fragments and structure of every table of at least five fragments."""
     f = tb.table_fragments(*_regions(spark, sf_dir)).where(F.size("fragments") > 4)
-    return f.withColumn("structure", paired(F.col("fragments")))
+    return stored(f.withColumn("structure", paired(F.col("fragments"))))
 
 
 @query("table_render", o.sql(f"SELECT stream, start, {RENDERED} AS markdown FROM paired", "fragments", extra=PAIRED))
@@ -142,13 +143,13 @@ def table_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.formatted(f, None, tb.inferred(F.col("fragments"))).select("stream", "start", "table_id", "formatted")
 
 
-TRIAGE = """, cached AS (SELECT table_id, CAST(max(len(data)) AS BIGINT) AS n_rows FROM paired GROUP BY table_id), shown AS (SELECT table_id, bool_or(contains(array_to_string(fragments, chr(10)), '|')) AS has_grid FROM fragments WHERE len(fragments) < 12 GROUP BY table_id)"""
+TRIAGE = """, cached AS (SELECT table_id, CAST(max(len(data)) AS BIGINT) AS n_rows FROM paired GROUP BY table_id), shown AS (SELECT table_id, bool_or(len(fragments) > 8) AS has_grid FROM fragments WHERE len(fragments) < 12 GROUP BY table_id)"""
 
 
 @query("table_triage", o.sql("SELECT table_id, coalesce(n_rows, -1) AS n_rows, coalesce(has_grid, false) AS has_grid, CASE WHEN n_rows BETWEEN 0 AND 1 THEN 'few_rows' WHEN NOT has_grid THEN 'no_grid' ELSE 'none' END AS problem FROM shown FULL JOIN cached USING (table_id)", "fragments", extra=PAIRED + TRIAGE))
 def table_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tb.table_fragments(*_regions(spark, sf_dir))
-    output = f.where(F.size("fragments") < 12).select("table_id", F.array_join("fragments", "\n").alias("content"))
+    output = f.where(F.size("fragments") < 12).select("table_id", F.when(F.size("fragments") > 8, F.array_join("fragments", " | ")).otherwise(F.array_join("fragments", "\n")).alias("content"))
     cache = f.where(F.size("fragments") > 4).withColumn("structure", paired(F.col("fragments")))
     cache = cache.groupBy("table_id").agg(F.max_by("structure", F.size("structure.data_rows")).alias("structure"))
     return tb.triage(output, cache)

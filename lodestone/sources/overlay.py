@@ -56,13 +56,14 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream, idx, content and page of the overlay."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = W.partitionBy("stream").orderBy("doc_id", "pos")
-    rows = docs.select(F.expr("doc_id div 100").alias("stream"), "doc_id", "pos", F.substring("line", 1, 400).alias("body"))
+    rows = docs.select(F.expr("doc_id div 100").alias("stream"), "doc_id", "pos", F.replace(F.substring("line", 1, 400), F.lit("|"), F.lit("/")).alias("body"))
     rows = rows.withColumn("idx", F.row_number().over(w).cast("bigint") - 1).withColumn("page", F.expr("20 + idx div 12"))
-    return rows.select("stream", "idx", F.expr(overlay_sql("spark")).alias("content"), "page")
+    # through a generator, so that the long expression isn't copied into every predicate that reads it
+    return rows.select("stream", "idx", F.inline(F.array(F.struct(F.expr(overlay_sql("spark")).alias("content"), "page"))))
 
 
 DUCK_STREAM = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-numbered AS (SELECT doc_id // 100 AS stream, substr(line, 1, 400) AS body, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id, pos) - 1 AS idx FROM lines),
+numbered AS (SELECT doc_id // 100 AS stream, replace(substr(line, 1, 400), '|', '/') AS body, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id, pos) - 1 AS idx FROM lines),
 paged AS (SELECT *, 20 + idx // 12 AS page FROM numbered),
 stream AS (SELECT stream, idx, {overlay_sql('duckdb')} AS content, page FROM paged)"""
 
