@@ -184,7 +184,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     two = c.census(docs, n, 2, _pieces(length), _tally, one)
     three = c.census(docs, n, 3, _windows(length), _tally, one.unionAll(two))
     told = one.unionAll(two).unionAll(three)
-    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, a: _digest(t, c.answers(a), length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(c.tidy(lambda t, a: _digest(t, c.answers(a), length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

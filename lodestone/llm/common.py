@@ -9,6 +9,7 @@ holds is one block or one range, both of bounded size at any input size.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -87,6 +88,38 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(rejected.select(F.col("at").alias("__at")), row_key() == F.col("__at"), "left_anti")
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system. Python workers serve one stage after another, and what one has
+    freed would else count against the next."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, which takes one table or two, and trim() behind it. (Spark counts the arguments, so there are two forms.)"""
+
+    def one(t: pa.Table) -> pa.Table:
+        out = f(t)
+        trim()
+        return out
+
+    def two(t: pa.Table, u: pa.Table) -> pa.Table:
+        out = f(t, u)
+        trim()
+        return out
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
+def cuts(off: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows of about ``size`` bytes."""
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1))
+        yield i, j
+        i = j
+
+
 def utf8(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one byte array, and the offsets between them (null: empty)."""
     arr = pa.chunked_array(column).combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -169,12 +202,9 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
     return mix((pre[k:] - pre[:-k]) * down[: len(values) - k + 1] + np.uint64(k))
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, size: int = (1 << 20) - 64) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, last + 1, starts, ends) of maximal runs of member bytes, for a few whole documents at a time."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1
-        j = min(max(j, i + 1), n)
+    for i, j in cuts(offsets, size):
         lo, hi = int(offsets[i]), int(offsets[j])
         inside = member[data[lo:hi]]
         before = np.empty(len(inside), bool)
@@ -188,7 +218,6 @@ def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, size: int =
         last = offsets[i + 1 : j + 1] - lo - 1
         after[last[last >= 0]] = False
         yield i, j, np.flatnonzero(inside & ~before) + lo, np.flatnonzero(inside & ~after) + 1 + lo
-        i = j
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, member: np.ndarray | None = None, code: np.ndarray = BYTE_CODE) -> tuple[np.ndarray, np.ndarray]:
@@ -280,9 +309,9 @@ def census(docs: DataFrame, n: int, round_: int, ask: Ask, tell: Tell, told: Dat
     tell(keys, lists, owner) gives for each block's list a uint8 array. docs comes from in_blocks(); the answers come as
     rows of TOLD. ``keys`` in tell() are all blocks' keys in one array and ``owner`` is the list each one comes from."""
     if told is None:
-        asked = docs.groupBy("block").applyInArrow(lambda t: _asked(t, n, ask, {}), ASKED)
+        asked = docs.groupBy("block").applyInArrow(tidy(lambda t: _asked(t, n, ask, {})), ASKED)
     else:
-        asked = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, a: _asked(t, n, ask, answers(a)) if t.num_rows else pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())]).empty_table(), ASKED)
+        asked = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy(lambda t, a: _asked(t, n, ask, answers(a)) if t.num_rows else pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())]).empty_table()), ASKED)
 
     def reduce(t: pa.Table) -> pa.Table:
         blocks, bucket = t["block"].to_pylist(), t["bucket"][0].as_py()
@@ -292,7 +321,7 @@ def census(docs: DataFrame, n: int, round_: int, ask: Ask, tell: Tell, told: Dat
         flags = tell(np.concatenate(lists), extra, owner)
         return pa.table({"block": pa.array(blocks, pa.int32()), "round": pa.array([round_] * len(blocks), pa.int32()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "flags": pa.array([pack_any(x) for x in flags], pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(reduce, TOLD)
+    return asked.groupBy("bucket").applyInArrow(tidy(reduce), TOLD)
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

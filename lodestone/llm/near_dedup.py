@@ -46,13 +46,15 @@ _A = np.random.default_rng(7).integers(0, 2**63, TREES * OWN, dtype=np.uint64) *
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text, as 64-bit hashes."""
-    words, first = c.words_of(*c.utf8(column), code=_LOWER)
-    rolled = c.rolling(words, SHINGLE)
-    for s, e in zip(first.tolist(), first[1:].tolist(), strict=False):
-        if e - s >= SHINGLE:
-            yield np.unique(rolled[s : e - SHINGLE + 1])
-        else:
-            yield c.rolling(words[s:e], e - s) if e > s else np.zeros(0, np.uint64)
+    data, off = c.utf8(column)
+    for i, j in c.cuts(off, 2 << 20):
+        words, first = c.words_of(data[off[i] : off[j]], off[i : j + 1] - off[i], code=_LOWER)
+        rolled = c.rolling(words, SHINGLE)
+        for s, e in zip(first.tolist(), first[1:].tolist(), strict=False):
+            if e - s >= SHINGLE:
+                yield np.unique(rolled[s : e - SHINGLE + 1])
+            else:
+                yield c.rolling(words[s:e], e - s) if e > s else np.zeros(0, np.uint64)
 
 
 def minhash(shingles: np.ndarray) -> bytes:
@@ -70,6 +72,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
             signs.append(minhash(u) if len(u) else None)
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "at", "n_shingles", "name", "sign"])
+        c.trim()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -141,6 +144,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok.append(n > 0 and 100 * n >= THRESHOLD * (len(both) - n))
             yield p.select([0, 1]).filter(pa.array(ok))
+        c.trim()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:

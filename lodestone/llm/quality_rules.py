@@ -102,6 +102,7 @@ def count(docs: DataFrame, n: int) -> DataFrame:
             rows += [(b, lang, c.pack(keys[s:e]), c.pack_any(counts[s:e])) for b, (s, e) in enumerate(zip(at, at[1:], strict=False)) if e > s]
         cols = list(zip(*rows, strict=True)) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "lang", "keys", "counts"])
+        c.trim()
 
     def add(t: pa.Table) -> pa.Table:
         keys, counts = [c.unpack(x) for x in t["keys"].to_pylist()], [c.unpack_any(x) for x in t["counts"].to_pylist()]
@@ -111,7 +112,7 @@ def count(docs: DataFrame, n: int) -> DataFrame:
             out.append(pa.table({"bucket": pa.array(np.full(len(k), t["bucket"][0].as_py(), np.int32)), "lang": pa.array([lang] * len(k), pa.string()), "gram": c.unmix(k).astype(np.int64), "n": m}))
         return pa.concat_tables(out)
 
-    return docs.select("text", "lang").mapInArrow(run, COUNTED).groupBy("bucket").applyInArrow(add, LEVEL)
+    return docs.select("text", "lang").mapInArrow(run, COUNTED).groupBy("bucket").applyInArrow(c.tidy(add), LEVEL)
 
 
 def _small(df: DataFrame, rows: DataFrame) -> DataFrame:
@@ -242,9 +243,9 @@ def scores(docs: DataFrame) -> DataFrame:
     n = c.count_blocks(docs)
     model = probabilities(c.stored(count(docs, n)))
     rows = c.in_blocks(docs, n, "lang", c.row_key().alias("at"))
-    asked = rows.groupBy("block").applyInArrow(lambda t: _ask(t, n), ASKED)
-    told = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_tell, TOLD)
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score, SCORED)
+    asked = rows.groupBy("block").applyInArrow(c.tidy(lambda t: _ask(t, n)), ASKED)
+    told = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(c.tidy(_tell), TOLD)
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(c.tidy(_score), SCORED)
 
 
 def bands(scored: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm import common as c
 
 WINDOW = 50
+#: Bytes of text in a block: hashes of words, stretches and windows take about twenty times as much.
+BLOCK = 8 << 20
 _HIGH = np.uint64(0xFFFFFFFFFFFF0000)
 
 
@@ -104,11 +106,11 @@ def _spans(t: pa.Table, heard: dict[int, np.ndarray], window: int) -> tuple[np.n
 
 def spans(docs: DataFrame, columns: tuple[str, ...] = (), window: int = WINDOW, finish=None, schema: str = "") -> DataFrame:
     """Runs the three passes; finish(block's rows, word goes, where documents begin) makes the rows of ``schema``."""
-    n = c.count_blocks(docs)
+    n = c.count_blocks(docs, size=BLOCK)
     docs = c.in_blocks(docs, n, *columns)
     one = c.census(docs, n, 1, _probe(window // 2), c.shared)
     two = c.census(docs, n, 2, _extend(window), _smaller, one)
-    return docs.groupBy("block").cogroup(one.unionAll(two).groupBy("block")).applyInArrow(lambda t, a: finish(t, *_spans(t, c.answers(a), window)), schema)
+    return docs.groupBy("block").cogroup(one.unionAll(two).groupBy("block")).applyInArrow(c.tidy(lambda t, a: finish(t, *_spans(t, c.answers(a), window))), schema)
 
 
 def _digest(t: pa.Table, gone: np.ndarray, first: np.ndarray) -> pa.Table:
