@@ -7,6 +7,10 @@ many classes share a prefix, it is the ones with longer common prefixes that sta
 partitioned with the id as last key, so any number of equal signatures spreads over tasks; pairs over a partition's
 border come from the partitions' ends.
 
+Where over NEIGHBOURS + 1 classes share the first MIN_DEPTH hashes of a tree, neighbours aren't all: there, the members
+that aren't yet in the bucket's largest component are compared with all its members, in blocks of CHUNK by CHUNK sets
+that lie in different tasks; a block gives at most one link for each component it joins, so no list of pairs is made.
+
 A pair is linked only after its two full shingle sets are compared. First the spanning forest of the candidates is
 confirmed, then every candidate between components that are still apart, so a group of n near copies costs about n
 comparisons, and no candidate that could join two components is left out.
@@ -37,6 +41,8 @@ SHINGLE = 5
 TREES, OWN, DEEP = 16, 4, 8
 MIN_DEPTH = 4
 NEIGHBOURS = 3
+#: Sets on either side of a block of a crowded bucket.
+CHUNK = 512
 #: Linked at THRESHOLD percent and above.
 THRESHOLD = 85
 _LOWER = c.BYTE_CODE.copy()
@@ -154,6 +160,71 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct()
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([u.tobytes() for u in shingle_sets(b.column(1))], pa.binary())], ["rep", "body"])
+        c.trim()
+
+
+def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of one with all of two: products of 0/1 matrices, some shingles at a time."""
+    both = np.intersect1d(np.unique(np.concatenate(one)), np.unique(np.concatenate(two)), assume_unique=True)
+    at = [[(k, np.searchsorted(both, u[np.isin(u, both, assume_unique=True)])) for k, u in enumerate(side)] for side in (one, two)]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for lo in range(0, len(both), width):
+        m = []
+        for side, n in zip(at, (len(one), len(two)), strict=True):
+            x = np.zeros((n, width), np.float32)
+            for k, p in side:
+                x[k, p[(p >= lo) & (p < lo + width)] - lo] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _compare(t: pa.Table) -> pa.Table:
+    """Links (a, b) between the components of a block's sets that the links before them in the block don't give already."""
+    side, comp = t["side"].to_numpy(), t["comp"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in t["body"].to_pylist()]
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    found: list[tuple[int, int]] = []
+    if len(one) and len(two):
+        n = _common([sets[i] for i in one], [sets[i] for i in two])
+        size = np.array([len(x) for x in sets])
+        ok = (100 * n >= THRESHOLD * (size[one][:, None] + size[two][None, :] - n)) & (n > 0) & (comp[one][:, None] != comp[two][None, :])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        i, j = np.nonzero(ok)
+        for x, y in np.unique(np.stack([comp[one[i]], comp[two[j]]], 1), axis=0).tolist():
+            a, b = sorted((find(x), find(y)))
+            if a != b:
+                root[b] = a
+                found.append((x, y))
+    return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+
+def crowded(classes: DataFrame, comps: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, b) between components (comps: rep, comp) that share a crowded bucket of a tree."""
+    seats = classes.select("rep", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("rep", F.xxhash64("tree", F.expr(f"substring(sign, tree * {4 * OWN} + 1, {4 * MIN_DEPTH})")).alias("bucket"))
+    many = c.stored(seats.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("bucket"))
+    held = c.stored(seats.join(c.few(many), "bucket").join(comps, "rep").select("bucket", "rep", "comp"))
+    by = held.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    live = c.stored(by.where("n > most").select("bucket", "major", chunks(F.col("n") - F.col("most")).alias("na"), chunks(F.col("n")).alias("nb")))
+    held = c.stored(held.join(live, "bucket"))
+    deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = held.where("comp <> major").select("bucket", deal(F.col("na")).alias("ca"), each("nb").alias("cb"), F.lit(0).alias("side"), "rep", "comp")
+    two = held.select("bucket", each("na").alias("ca"), deal(F.col("nb")).alias("cb"), F.lit(1).alias("side"), "rep", "comp")
+    sets = c.stored(bodies.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, body binary"))
+    return one.unionAll(two).join(sets, "rep").groupBy("bucket", "ca", "cb").applyInArrow(c.tidy(_compare), "a long, b long")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, at, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -169,10 +240,16 @@ def components(docs: DataFrame) -> DataFrame:
     tried = tree.withColumn("tried", F.lit(True))
     apart = c.stored(apart.join(tried, ["a", "b"], "left_anti"))
     late = c.stored(confirmed(apart.select("a", "b"), bodies).join(apart, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    reps = classes.select("name", "rep").join(labels, classes.rep == labels.v, "left").select("name", F.coalesce("label", "rep").alias("label"))
+    reps = classes.select("name", "rep").join(labels, classes.rep == labels.v, "left").select("name", "rep", F.coalesce("label", "rep").alias("label"))
     if not late.isEmpty():
         again, _ = forest(late)
-        reps = reps.join(again, reps.label == again.v, "left").select("name", F.coalesce(again.label, reps.label).alias("label"))
+        reps = reps.join(again, reps.label == again.v, "left").select("name", "rep", F.coalesce(again.label, reps.label).alias("label"))
+    reps = c.stored(reps)
+    rest = c.stored(crowded(classes, reps.select("rep", F.col("label").alias("comp")), bodies).distinct())
+    if not rest.isEmpty():
+        last, _ = forest(rest)
+        reps = reps.join(last, reps.label == last.v, "left").select("name", F.coalesce(last.label, reps.label).alias("label"))
+    reps = reps.select("name", "label")
     out = signed.join(reps, "name", "left")
     named = F.coalesce("label", "doc_id")
     return out.select("doc_id", "at", "n_shingles", named.alias("component_id"), F.coalesce(F.col("doc_id") == named, named.isNull()).alias("kept"))
