@@ -56,7 +56,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream, idx, content and page of the overlay."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = W.partitionBy("stream").orderBy("doc_id", "pos")
-    rows = docs.select(F.expr("doc_id div 100").alias("stream"), "doc_id", "pos", F.replace(F.substring("line", 1, 400), F.lit("|"), F.lit("/")).alias("body"))
+    rows = docs.select(F.expr("doc_id div 100").alias("stream"), "doc_id", "pos", F.replace("line", F.lit("|"), F.lit("/")).alias("body"))
     rows = rows.withColumn("idx", F.row_number().over(w).cast("bigint") - 1).withColumn("page", F.expr("20 + idx div 12"))
     # through a generator, so that the long expression isn't copied into every predicate that reads it
     return rows.select("stream", "idx", F.inline(F.array(F.struct(F.expr(overlay_sql("spark")).alias("content"), "page"))))
