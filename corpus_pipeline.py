@@ -18,9 +18,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+#: Percent of shared shingles from which the near-duplicate stage links two documents.
+NEAR = 80
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest doc_id."""
-    return near_dedup.keep(docs)
+    return near_dedup.keep(docs, NEAR)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

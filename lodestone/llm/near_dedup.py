@@ -16,7 +16,8 @@ confirmed, then every candidate between components that are still apart, so a gr
 comparisons, and no candidate that could join two components is left out.
 
 Recall: a pair at similarity 0.85 shares four given hashes with probability 0.52, so all 16 trees miss it with
-probability 7e-6, before neighbours of neighbours; the tests compare with brute force.
+probability 7e-6, before neighbours of neighbours; at 0.8, the pipeline's threshold, with 0.41 and 2e-4. The tests
+compare with brute force.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; rows with equal doc_id are one
 document; a null doc_id belongs to the class of its text, but never names a component (a class without any id has a
@@ -43,7 +44,7 @@ MIN_DEPTH = 4
 NEIGHBOURS = 3
 #: Sets on either side of a block of a crowded bucket.
 CHUNK = 512
-#: Linked at THRESHOLD percent and above.
+#: op10 links at THRESHOLD percent and above.
 THRESHOLD = 85
 _LOWER = c.BYTE_CODE.copy()
 _LOWER[65:91] = c.BYTE_CODE[97:123]
@@ -139,7 +140,7 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 512):
             p = b.slice(i, 512)
@@ -148,16 +149,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = np.concatenate([x, y])
                 both.sort()
                 n = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(n > 0 and 100 * n >= THRESHOLD * (len(both) - n))
+                ok.append(n > 0 and 100 * n >= threshold * (len(both) - n))
             yield p.select([0, 1]).filter(pa.array(ok))
         c.trim()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _confirm(it, threshold), "a long, b long").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +183,7 @@ def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 8192) ->
     return out.astype(np.int64)
 
 
-def _compare(t: pa.Table) -> pa.Table:
+def _compare(t: pa.Table, threshold: int) -> pa.Table:
     """Links (a, b) between the components of a block's sets that the links before them in the block don't give already."""
     side, comp = t["side"].to_numpy(), t["comp"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in t["body"].to_pylist()]
@@ -191,7 +192,7 @@ def _compare(t: pa.Table) -> pa.Table:
     if len(one) and len(two):
         n = _common([sets[i] for i in one], [sets[i] for i in two])
         size = np.array([len(x) for x in sets])
-        ok = (100 * n >= THRESHOLD * (size[one][:, None] + size[two][None, :] - n)) & (n > 0) & (comp[one][:, None] != comp[two][None, :])
+        ok = (100 * n >= threshold * (size[one][:, None] + size[two][None, :] - n)) & (n > 0) & (comp[one][:, None] != comp[two][None, :])
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -208,7 +209,7 @@ def _compare(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
 
-def crowded(classes: DataFrame, comps: DataFrame, bodies: DataFrame) -> DataFrame:
+def crowded(classes: DataFrame, comps: DataFrame, bodies: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between components (comps: rep, comp) that share a crowded bucket of a tree."""
     seats = classes.select("rep", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("rep", F.xxhash64("tree", F.expr(f"substring(sign, tree * {4 * OWN} + 1, {4 * MIN_DEPTH})")).alias("bucket"))
     many = c.stored(seats.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("bucket"))
@@ -222,11 +223,11 @@ def crowded(classes: DataFrame, comps: DataFrame, bodies: DataFrame) -> DataFram
     one = held.where("comp <> major").select("bucket", deal(F.col("na")).alias("ca"), each("nb").alias("cb"), F.lit(0).alias("side"), "rep", "comp")
     two = held.select("bucket", each("na").alias("ca"), deal(F.col("nb")).alias("cb"), F.lit(1).alias("side"), "rep", "comp")
     sets = c.stored(bodies.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, body binary"))
-    return one.unionAll(two).join(sets, "rep").groupBy("bucket", "ca", "cb").applyInArrow(c.tidy(_compare), "a long, b long")
+    return one.unionAll(two).join(sets, "rep").groupBy("bucket", "ca", "cb").applyInArrow(c.tidy(lambda t: _compare(t, threshold)), "a long, b long")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, at, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, at, n_shingles, component_id and kept of every row of docs (doc_id, text); linked at threshold percent and above."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = c.stored(signatures(docs))
     classes = c.stored(signed.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign")))
@@ -234,18 +235,18 @@ def components(docs: DataFrame) -> DataFrame:
     wanted = c.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     bodies = c.stored(docs.join(c.few(wanted), "doc_id", "left_semi"))
     _, tree = forest(pairs)
-    labels, _ = forest(confirmed(tree, bodies))
+    labels, _ = forest(confirmed(tree, bodies, threshold))
     la, lb = (labels.select(F.col("v").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
     apart = pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb")
     tried = tree.withColumn("tried", F.lit(True))
     apart = c.stored(apart.join(tried, ["a", "b"], "left_anti"))
-    late = c.stored(confirmed(apart.select("a", "b"), bodies).join(apart, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    late = c.stored(confirmed(apart.select("a", "b"), bodies, threshold).join(apart, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
     reps = classes.select("name", "rep").join(labels, classes.rep == labels.v, "left").select("name", "rep", F.coalesce("label", "rep").alias("label"))
     if not late.isEmpty():
         again, _ = forest(late)
         reps = reps.join(again, reps.label == again.v, "left").select("name", "rep", F.coalesce(again.label, reps.label).alias("label"))
     reps = c.stored(reps)
-    rest = c.stored(crowded(classes, reps.select("rep", F.col("label").alias("comp")), bodies).distinct())
+    rest = c.stored(crowded(classes, reps.select("rep", F.col("label").alias("comp")), bodies, threshold).distinct())
     if not rest.isEmpty():
         last, _ = forest(rest)
         reps = reps.join(last, reps.label == last.v, "left").select("name", F.coalesce(last.label, reps.label).alias("label"))
@@ -255,10 +256,10 @@ def components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "at", "n_shingles", named.alias("component_id"), F.coalesce(F.col("doc_id") == named, named.isNull()).alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents, every column kept, of which each component keeps one."""
-    return c.without(docs, components(docs).where("not kept"))
+    return c.without(docs, components(docs, threshold).where("not kept"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(c.table(spark, sf_dir, "documents")).drop("at")
+    return components(c.table(spark, sf_dir, "documents"), THRESHOLD).drop("at")

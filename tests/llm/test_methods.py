@@ -191,3 +191,14 @@ def test_oracles(spark):
         want = duckdb.sql(sql)
         got = registry.queries()[name](spark, sf).select(*want.columns)
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()), name
+
+
+def test_near_threshold(spark):
+    """A pair at similarity 84/102 goes in the pipeline's stage and stays apart in op10."""
+    base = [f"w{i}" for i in range(97)]
+    other = [*base[:88], *(f"x{i}" for i in range(9))]
+    a, b = (brute.shingles(" ".join(x)) for x in (base, other))
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other))], "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.keep(df).collect()} == {1, 2}
+    assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == {1}
