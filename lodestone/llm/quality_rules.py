@@ -1,23 +1,28 @@
 """Quality rules with a modified Kneser-Ney model.
 
-The model is over 4-grams of bytes, one for each language. Each partition counts its distinct 4-grams and sends them
-once, as sorted hash arrays cut by range; Spark adds the counts up, derives the lower orders (by how many different
-bytes stand in front of a gram), discounts from counts of counts, and probabilities order by order. The hash is a
-bijection of the 32 bits of a gram, so nothing is lost. Blocks of documents then ask for just the grams that they hold,
-get back sorted arrays of log-probabilities, and score their documents by binary search. What is counted, shuffled and
-scored grows with the input; no model is broadcast.
+The model is over 3-grams of words, one for each language and half of the documents (by a hash of the text, so exact
+copies share a half); a document is scored by the half that it isn't in, so its own words don't explain it. A gram that
+the half doesn't hold backs off to its shorter ones, and a word that it doesn't hold is of the unknown class, which has
+the uniform share of what the words' discounts leave. Words are known by WORDS.bits of their hash.
 
-A document is rejected if its mean surprise (bits a byte) lies outside its language's band: median -+ WIDTH robust
-deviations of all its language's documents that pass the base rules; or by the base rules: under 50 words, or over
-half of the words in repeated 3-word windows.
+Each partition counts its distinct grams and sends them once, as sorted hash arrays cut by range; Spark adds the counts
+up, derives the lower orders (by how many different words stand in front of a gram), discounts from counts of counts,
+and probabilities order by order. The hash is a bijection of a gram, so nothing more is lost. Blocks of documents then
+ask for just the grams that they hold, get back sorted arrays of log-probabilities, and score their documents by binary
+search. The distinct 3-grams, and what is counted, shuffled and scored, grow with the input; no model is broadcast.
+
+A document is rejected if its mean surprise (bits a word) lies outside its language's band, median -+ WIDTH robust
+deviations of all its language's documents that pass the base rules; or by the base rules: under 50 words, or over half of the
+words in repeated 3-word windows.
 
 Defined cases: null and empty texts have no words and fail; a null language is a language of its own; texts of one
-to three bytes have no 4-gram and no surprise, and only the base rules count; an empty table gives an empty result.
+or two words have no 3-gram and no surprise, and only the base rules count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +31,20 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common as c
 
-ORDER = 4
+
+class Grams(NamedTuple):
+    """So many symbols of so many bits make a gram."""
+
+    order: int
+    bits: int
+
+
+BYTES, WORDS = Grams(4, 8), Grams(3, 21)
 MIN_WORDS = 50
 MAX_REPEAT = 50
 #: Robust standard deviations from the median to either side.
 WIDTH = 12.0
-#: No band is narrower than this to either side (bits a byte).
+#: No band is narrower than this to either side (bits a word).
 LEAST = 0.5
 #: Rows of discounts and bands, one a language, that may be broadcast.
 MAX_LANGS = 4096
@@ -41,17 +54,6 @@ ASKED = "bucket int, block int, lang string, keys binary"
 TOLD = "block int, lang string, bucket int, keys binary, logp binary"
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """The 4-grams that start at each byte."""
-    if len(data) < ORDER:
-        return np.zeros(0, np.uint64)
-    g = np.zeros(len(data) - ORDER + 1, np.uint64)
-    for k in range(ORDER):
-        g <<= np.uint64(8)
-        g |= data[k : len(data) - ORDER + 1 + k]
-    return g
-
-
 def _by_lang(langs: list[str | None]) -> list[tuple[str | None, np.ndarray]]:
     where: dict[str | None, list[int]] = {}
     for i, x in enumerate(langs):
@@ -65,11 +67,21 @@ def _pieces(off: np.ndarray, rows: np.ndarray, size: int = 2 << 20) -> list[np.n
     return np.split(rows, np.flatnonzero(np.diff(total // size)) + 1)
 
 
-def _gather(data: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All 4-grams of the rows, none over a text's end; how many each row has; where each row's begin."""
-    parts = [_grams(data[off[i] : off[i + 1]]) for i in rows]
-    n = np.array([len(p) for p in parts])
-    return np.concatenate(parts), n, np.concatenate([[0], np.cumsum(n)[:-1]])
+def _gather(data: np.ndarray, off: np.ndarray, rows: np.ndarray, kind: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All grams of the rows, none over a text's end; how many each row has; where each row's begin."""
+    size = off[rows + 1] - off[rows]
+    first = np.concatenate([[0], np.cumsum(size)])
+    symbols = np.concatenate([data[off[i] : off[i + 1]] for i in rows])
+    if kind == WORDS:
+        symbols, first = c.words_of(symbols, first)
+        symbols = symbols & np.uint64((1 << kind.bits) - 1)
+    n = np.maximum(np.diff(first) - kind.order + 1, 0)
+    g = np.zeros(max(len(symbols) - kind.order + 1, 0), np.uint64)
+    for k in range(kind.order):
+        g <<= np.uint64(kind.bits)
+        g |= symbols[k : len(g) + k]
+    at = np.repeat(first[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return g[at], n, np.cumsum(n) - n
 
 
 def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,23 +90,44 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k, np.bincount(inv, np.concatenate(counts), len(k)).astype(np.int64)
 
 
-def _distinct(data: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.unique(_gather(data, off, p)[0], return_counts=True) for p in _pieces(off, rows)]
+def _distinct(data: np.ndarray, off: np.ndarray, rows: np.ndarray, kind: Grams) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.unique(_gather(data, off, p, kind)[0], return_counts=True) for p in _pieces(off, rows)]
     g, n = _sum([p[0] for p in parts], [p[1] for p in parts])
     h = c.mix(g)
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def count(docs: DataFrame, n: int) -> DataFrame:
-    """bucket, lang, gram and n of every 4-gram of the corpus, from what each partition has counted (text, lang)."""
+def half(other: bool = False) -> F.Column:
+    """The document's language with its half (or the other) in front: which model it counts for (or is scored by)."""
+    side = F.pmod(F.xxhash64("text"), F.lit(2))
+    return F.concat((1 - side if other else side).cast("string"), F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-")))
+
+
+def _both(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Both halves of each language, with the grams of either: those of the other one only have 0."""
+    out = {}
+    for lang in {x[1:] for x in found}:
+        sides = [found[f"{i}{lang}"] for i in (0, 1) if f"{i}{lang}" in found]
+        keys = np.unique(np.concatenate([k for k, _ in sides]))
+        for i in (0, 1):
+            n = np.zeros(len(keys), np.int64)
+            if (side := found.get(f"{i}{lang}")) is not None:
+                n[np.searchsorted(keys, side[0])] = side[1]
+            out[f"{i}{lang}"] = keys, n
+    return out
+
+
+def count(docs: DataFrame, n: int, kind: Grams = BYTES) -> DataFrame:
+    """bucket, lang, gram and n of every gram of the corpus, from what each partition has counted (text, lang). For words,
+    lang comes from half()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             data, off = c.utf8(b.column(0))
             for lang, rows in _by_lang(b.column(1).to_pylist()):
-                new = _distinct(data, off, rows)
+                new = _distinct(data, off, rows, kind)
                 found[lang] = _sum(*zip(found[lang], new, strict=True)) if lang in found else new
         rows = []
         for lang, (keys, counts) in found.items():
@@ -106,10 +139,10 @@ def count(docs: DataFrame, n: int) -> DataFrame:
 
     def add(t: pa.Table) -> pa.Table:
         keys, counts = [c.unpack(x) for x in t["keys"].to_pylist()], [c.unpack_any(x) for x in t["counts"].to_pylist()]
+        found = {lang: _sum([keys[i] for i in rows], [counts[i] for i in rows]) for lang, rows in _by_lang(t["lang"].to_pylist())}
         out = []
-        for lang, rows in _by_lang(t["lang"].to_pylist()):
-            k, m = _sum([keys[i] for i in rows], [counts[i] for i in rows])
-            out.append(pa.table({"bucket": pa.array(np.full(len(k), t["bucket"][0].as_py(), np.int32)), "lang": pa.array([lang] * len(k), pa.string()), "gram": c.unmix(k).astype(np.int64), "n": m}))
+        for lang, (k, m) in (_both(found) if kind == WORDS else found).items():
+            out.append(pa.table({"bucket": pa.array(np.full(len(k), t["bucket"][0].as_py(), np.int32)), "lang": pa.repeat(pa.scalar(lang, pa.string()), len(k)), "gram": c.unmix(k).astype(np.int64), "n": m}))
         return pa.concat_tables(out)
 
     return docs.select("text", "lang").mapInArrow(run, COUNTED).groupBy("bucket").applyInArrow(c.tidy(add), LEVEL)
@@ -128,12 +161,13 @@ def _ratio(a: str, b: str) -> F.Column:
     return F.when(F.col(a) > 0, F.col(b) / F.col(a)).otherwise(F.lit(0.0))
 
 
-def probabilities(top: DataFrame) -> DataFrame:
-    """bucket, lang, gram and logp (base 2) of every 4-gram of a stored LEVEL table: interpolated modified Kneser-Ney."""
+def probabilities(top: DataFrame, kind: Grams = BYTES) -> DataFrame:
+    """bucket, lang, gram and logp (base 2) of every gram of a stored LEVEL table: interpolated modified Kneser-Ney. What
+    has n = 0 counts for nothing and backs off."""
     same = F.col("l.lang").eqNullSafe(F.col("r.lang"))
-    orders = {ORDER: top}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts
-        orders[k] = orders[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
+    orders = {kind.order: top}
+    for k in range(kind.order - 1, 0, -1):  # continuation counts
+        orders[k] = orders[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << kind.bits * k) - 1).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n"))
     kinds = [orders[k].groupBy("lang").agg(F.lit(k).alias("k"), *(F.count_if(F.col("n") == i).cast("double").alias(f"k{i}") for i in (1, 2, 3, 4))) for k in orders]
     of = kinds[0]
     for x in kinds[1:]:
@@ -142,19 +176,20 @@ def probabilities(top: DataFrame) -> DataFrame:
     of = of.withColumn("y", y).select("lang", "k", _clip(1 - 2 * F.col("y") * _ratio("k1", "k2"), 1).alias("d1"), _clip(2 - 3 * F.col("y") * _ratio("k2", "k3"), 2).alias("d2"), _clip(3 - 4 * F.col("y") * _ratio("k3", "k4"), 3).alias("d3"))
     of = _small(c.stored(of), top)
     p = None
-    for k in range(1, ORDER + 1):
-        keep = ["lang", "gram", *(["bucket"] if k == ORDER else [])]
-        one = orders[k].withColumn("ctx", F.shiftright("gram", 8))
+    for k in range(1, kind.order + 1):
+        keep = ["lang", "gram", *(["bucket"] if k == kind.order else [])]
+        one = orders[k].withColumn("ctx", F.shiftright("gram", kind.bits))
         ctx = one.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), *(F.count_if(x).alias(f"f{i}") for i, x in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))))
         one = one.alias("l").join(ctx.alias("r"), same & (F.col("l.ctx") == F.col("r.ctx"))).select(*(f"l.{x}" for x in keep), "n", "total", "f1", "f2", "f3")
         one = one.alias("l").join(of.where(F.col("k") == k).alias("r"), same).select(*(f"l.{x}" for x in keep), "n", "total", "f1", "f2", "f3", "d1", "d2", "d3")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own, rest = (F.col("n") - d) / F.col("total"), (F.col("d1") * F.col("f1") + F.col("d2") * F.col("f2") + F.col("d3") * F.col("f3")) / F.col("total")
+        own = F.when(F.col("n") > 0, (F.col("n") - d) / F.col("total")).otherwise(F.lit(0.0))
+        rest = F.when(F.col("total") > 0, (F.col("d1") * F.col("f1") + F.col("d2") * F.col("f2") + F.col("d3") * F.col("f3")) / F.col("total")).otherwise(F.lit(1.0))
         one = one.select(*keep, own.alias("own"), rest.alias("rest"))
         if p is None:
-            p = one.select(*keep, (F.col("own") + F.col("rest") / 256).alias("p"))
+            p = one.select(*keep, (F.col("own") + F.col("rest") / (1 << kind.bits)).alias("p"))
         else:
-            low = F.col("l.gram").bitwiseAND((1 << 8 * (k - 1)) - 1)
+            low = F.col("l.gram").bitwiseAND((1 << kind.bits * (k - 1)) - 1)
             p = one.alias("l").join(p.alias("r"), same & (low == F.col("r.gram"))).select(*(f"l.{x}" for x in keep), (F.col("own") + F.col("rest") * F.col("r.p")).alias("p"))
     return p.select("bucket", "lang", "gram", F.log2("p").alias("logp"))
 
@@ -184,8 +219,8 @@ SCORED = "doc_id long, at long, lang string, n_words long, word_chars long, n_sy
 def _ask(t: pa.Table, n: int) -> pa.Table:
     data, off = c.utf8(t["text"])
     rows = []
-    for lang, some in _by_lang(t["lang"].to_pylist()):
-        keys = _distinct(data, off, some)[0]
+    for lang, some in _by_lang(t["model"].to_pylist()):
+        keys = _distinct(data, off, some, WORDS)[0]
         at = c.cut(keys, n)
         rows += [(b, t["block"][0].as_py(), lang, c.pack(keys[s:e])) for b, (s, e) in enumerate(zip(at, at[1:], strict=False)) if e > s]
     cols = list(zip(*rows, strict=True)) if rows else [()] * 4
@@ -212,7 +247,7 @@ def _surprise(t: pa.Table, told: pa.Table) -> np.ndarray:
     out = np.full(t.num_rows, np.nan)
     told = told.sort_by("bucket")
     lists = {x: told.take(rows) for x, rows in _by_lang(told["lang"].to_pylist())}
-    for x, rows in _by_lang(t["lang"].to_pylist()):
+    for x, rows in _by_lang(t["model"].to_pylist()):
         if x not in lists:
             continue
         keys = np.concatenate([c.unpack(b) for b in lists[x]["keys"].to_pylist()])
@@ -221,7 +256,7 @@ def _surprise(t: pa.Table, told: pa.Table) -> np.ndarray:
         order = np.argsort(back)
         back, values = back[order], values[order]
         for part in _pieces(off, rows):
-            g, n, first = _gather(data, off, part)
+            g, n, first = _gather(data, off, part, WORDS)
             some = n > 0
             if len(g):
                 bits = -np.add.reduceat(values[np.searchsorted(back, g)], first[some])
@@ -241,8 +276,8 @@ def _score(t: pa.Table, told: pa.Table) -> pa.Table:
 def scores(docs: DataFrame) -> DataFrame:
     """A row of SCORED for every document (columns doc_id, text, lang)."""
     n = c.count_blocks(docs)
-    model = probabilities(c.stored(count(docs, n)))
-    rows = c.in_blocks(docs, n, "lang", c.row_key().alias("at"))
+    model = probabilities(c.stored(count(docs.select("text", half().alias("lang")), n, WORDS)), WORDS)
+    rows = c.in_blocks(docs, n, "lang", half(other=True).alias("model"), c.row_key().alias("at"))
     asked = rows.groupBy("block").applyInArrow(c.tidy(lambda t: _ask(t, n)), ASKED)
     told = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(c.tidy(_tell), TOLD)
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(c.tidy(_score), SCORED)

@@ -202,3 +202,24 @@ def test_near_threshold(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other))], "doc_id long, text string")
     assert {r.doc_id for r in near_dedup.keep(df).collect()} == {1, 2}
     assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == {1}
+
+
+def shuffled(spark):
+    """Verdicts by doc_id: stretches of one long order of words, and as 1000 the words of document 0 in another order."""
+    rng = np.random.default_rng(11)
+    cycle = [f"word{i}" for i in rng.permutation(300)] * 2
+    rows = [(i, " ".join(cycle[s : s + 90])) for i, s in enumerate(rng.integers(0, 300, 80).tolist())]
+    rows.append((1000, " ".join(rng.permutation(rows[0][1].split()))))
+    return {r.doc_id: r for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang")).collect()}
+
+
+def test_word_order(spark):
+    v = shuffled(spark)
+    assert v[1000].surprise > 2 + max(r.surprise for i, r in v.items() if i < 1000)
+
+
+def test_language_model_grows():
+    """Distinct word 3-grams aren't bounded by an alphabet."""
+    texts = [" ".join(f"w{i * 7 % 1009}x{i % n}" for i in range(n)) for n in (2000, 20_000)]
+    n = [len(quality_rules._distinct(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), np.array([0]), quality_rules.WORDS)[0]) for t in texts]
+    assert n == [1998, 19_998]
