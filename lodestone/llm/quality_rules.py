@@ -11,8 +11,8 @@ and probabilities order by order. The hash is a bijection of a gram, so nothing
 ask for just the grams that they hold, get back sorted arrays of log-probabilities, and score their documents by binary
 search. The distinct 3-grams, and what is counted, shuffled and scored, grow with the input; no model is broadcast.
 
-A document is rejected if its mean surprise (bits a word) lies outside its language's band, median -+ WIDTH robust
-deviations of all its language's documents that pass the base rules; or by the base rules: under 50 words, or over half of the
+A document is rejected if its mean surprise (bits a word) lies outside its language's band, the quantiles LOW and HIGH
+of all its language's documents that pass the base rules; or by the base rules: under 50 words, or over half of the
 words in repeated 3-word windows.
 
 Defined cases: null and empty texts have no words and fail; a null language is a language of its own; texts of one
@@ -42,10 +42,8 @@ class Grams(NamedTuple):
 BYTES, WORDS = Grams(4, 8), Grams(3, 21)
 MIN_WORDS = 50
 MAX_REPEAT = 50
-#: Robust standard deviations from the median to either side.
-WIDTH = 12.0
-#: No band is narrower than this to either side (bits a word).
-LEAST = 0.5
+#: Shares of a language's documents that pass the base rules below and up to the band.
+LOW, HIGH = 0.01, 0.95
 #: Rows of discounts and bands, one a language, that may be broadcast.
 MAX_LANGS = 4096
 COUNTED = "bucket int, lang string, keys binary, counts binary"
@@ -286,11 +284,8 @@ def scores(docs: DataFrame) -> DataFrame:
 def bands(scored: DataFrame) -> DataFrame:
     """lang, low and high of every language, from all its documents that pass the base rules."""
     ok = scored.where(~_failed() & F.col("surprise").isNotNull())
-    mid = ok.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("mid"))
-    same = F.col("l.lang").eqNullSafe(F.col("r.lang"))
-    off = ok.alias("l").join(_small(mid, scored).alias("r"), same).select("l.lang", "mid", F.abs(F.col("surprise") - F.col("mid")).alias("off"))
-    wide = F.greatest(F.lit(LEAST), WIDTH * 1.4826 * F.percentile_approx("off", 0.5, 10_000))
-    return off.groupBy("lang").agg(F.first("mid").alias("mid"), wide.alias("wide")).select("lang", (F.col("mid") - F.col("wide")).alias("low"), (F.col("mid") + F.col("wide")).alias("high"))
+    low, high = (F.percentile_approx("surprise", q, 10_000).alias(x) for x, q in (("low", LOW), ("high", HIGH)))
+    return ok.groupBy("lang").agg(low, high)
 
 
 def _failed() -> F.Column:

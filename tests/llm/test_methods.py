@@ -223,3 +223,9 @@ def test_language_model_grows():
     texts = [" ".join(f"w{i * 7 % 1009}x{i % n}" for i in range(n)) for n in (2000, 20_000)]
     n = [len(quality_rules._distinct(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), np.array([0]), quality_rules.WORDS)[0]) for t in texts]
     assert n == [1998, 19_998]
+
+
+def test_band_rejects(spark):
+    """The band leaves out what the model finds incoherent, and the base rules don't."""
+    v = shuffled(spark)
+    assert not v[1000].base_failed and not v[1000].kept and sum(r.kept for r in v.values()) > 70
