@@ -1,10 +1,11 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template's words are ordered by how often the whole corpus holds them, rarest first; only words
+A block is any run of a text's words, over lines, as long as SLACK times the template's number of distinct words: long
+enough for the template with words put in between, and words scattered further over a text don't match. A template's words are ordered by how often the whole corpus holds them, rarest first; only words
 of the templates are counted, so the order is bounded by the templates. Of a template with n words of which m must be
-found, any match holds one of the n - m + 1 rarest (prefix filter); a block needs m distinct words (length filter); and
-what is left of the template and of the block behind the first common word must still make m (positional filter). What
-passes is counted in full, so every block at THRESHOLD or above is found and none below.
+found, any match holds one of the n - m + 1 rarest (prefix filter); the text needs m of its words (length filter); and what is
+left of the template and of the text's words behind the first common word must still make m (positional filter). Of what
+passes, the template's words are counted in every block, so all at THRESHOLD or above are found and none below.
 
 Beside the templates' labels stand those of three base phrases. Null and empty texts have no words, no label and
 score 0. Score: the largest containment found, 1 with a base phrase.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import common as c
 
 THRESHOLD = 0.8
+#: Words of a block for each distinct word of the template.
+SLACK = 1.5
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _W = rb"[0-9a-z\x80-\xff]"
@@ -76,27 +79,44 @@ class Templates:
         self.rare = [name[r] for r in self.index]
 
     def match(self, text: bytes) -> dict[int, float]:
-        """Containment of each template that some line of the lower-cased text meets."""
+        """Containment of each template that some block of the lower-cased text meets."""
         if not any(w in text for w in self.rare):
             return {}
+        places: dict[int, list[int]] = {}
+        for at, w in enumerate(_WORDS.findall(text)):
+            if (r := self.rank.get(w)) is not None:
+                places.setdefault(r, []).append(at)
+        own = sorted(places)
         best: dict[int, float] = {}
-        for line in text.split(b"\n"):
-            if not any(w in line for w in self.rare):
-                continue
-            found = set(_WORDS.findall(line))
-            own = sorted(self.rank[w] for w in found if w in self.rank)
-            tried = set()
-            for at, r in enumerate(own):
-                for t, i in self.index.get(r, ()):
-                    if t in tried or len(found) < self.need[t]:
-                        continue
-                    tried.add(t)  # r is the first common word: those before it in either list aren't in the other
-                    if 1 + min(len(self.sets[t]) - i - 1, len(own) - at - 1) >= self.need[t]:
-                        n = sum(x in self.sets[t] for x in own[at:])
-                        if n >= self.need[t]:
-                            best[t] = max(best.get(t, 0.0), n / len(self.sets[t]))
+        tried = set()
+        for at, r in enumerate(own):
+            for t, i in self.index.get(r, ()):
+                if t in tried or len(own) < self.need[t]:
+                    continue
+                tried.add(t)  # r is the first common word: those before it in either list aren't in the other
+                if 1 + min(len(self.sets[t]) - i - 1, len(own) - at - 1) >= self.need[t]:
+                    common = [x for x in self.sets[t] if x in places]
+                    if len(common) >= self.need[t] and (n := self.most(t, common, places)) >= self.need[t]:
+                        best[t] = n / len(self.sets[t])
         return best
 
+    def most(self, t: int, common: list[int], places: dict[int, list[int]]) -> int:
+        """The most distinct words of a template that one block holds."""
+        width = int(np.ceil(SLACK * len(self.sets[t])))
+        seats = sorted((at, x) for x in common for at in places[x])
+        held: dict[int, int] = {}
+        most = first = 0
+        for at, x in seats:
+            held[x] = held.get(x, 0) + 1
+            while seats[first][0] <= at - width:
+                y = seats[first][1]
+                held[y] -= 1
+                if not held[y]:
+                    del held[y]
+                first += 1
+            most = max(most, len(held))
+        return most
+
 
 def frequencies(docs: DataFrame, vocabulary: list[bytes]) -> dict[bytes, int]:
     """How often all documents hold each of the given words."""

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import bpe, media, near_dedup, packing, quality_classifier, quality_rules, registry
+from lodestone.llm import bpe, license_scan, media, near_dedup, packing, quality_classifier, quality_rules, registry
 
 
 def test_classifier_on_held_out_rows(spark):
@@ -229,3 +229,15 @@ def test_band_rejects(spark):
     """The band leaves out what the model finds incoherent, and the base rules don't."""
     v = shuffled(spark)
     assert not v[1000].base_failed and not v[1000].kept and sum(r.kept for r in v.values()) > 70
+
+
+def test_wrapped_licenses():
+    """A template is found in whatever way its lines are wrapped; words scattered over a long text aren't one."""
+    index = license_scan.Templates({}, license_scan.TEMPLATES, license_scan.THRESHOLD)
+    for t, (_, text) in enumerate(license_scan.TEMPLATES):
+        w = text.lower().split()
+        for k in range(len(w) + 1):
+            wrapped = "before it\n" + " ".join(w[:k]) + "\n * " + " ".join(w[k:]) + "\nbehind it"
+            assert index.match(wrapped.encode()).get(t) == 1.0, (text, k)
+        assert index.match("\n".join(w).encode()).get(t) == 1.0
+        assert t not in index.match((" " + "filler " * 40).join(w).encode())
