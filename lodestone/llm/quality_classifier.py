@@ -43,8 +43,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, bytes]]:
     rank = F.xxhash64("doc_id")
     some = [known.where(F.col("quality") == q).orderBy(rank, "doc_id").limit(SAMPLE_ROWS) for q in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionAll(some[1])), "doc_id")  # at most 2 * SAMPLE_ROWS ids
-    w = W.partitionBy("quality").orderBy(rank, "doc_id", F.xxhash64("text"))
-    rows = rows.withColumn("so_far", F.sum(F.octet_length("text")).over(w)).where(f"so_far <= {SAMPLE_BYTES}")
+    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES)  # neither null nor too long to ever fit
+    order = ["quality", rank, "doc_id", F.xxhash64("text")]
+    left, taken = [SAMPLE_BYTES, SAMPLE_BYTES], set()
+    for r in rows.select("quality", c.row_key().alias("at"), F.octet_length("text").alias("size"), *order[1:]).orderBy(*order).toLocalIterator():
+        if r["at"] not in taken and r["size"] <= left[r["quality"]]:  # what doesn't fit is passed over
+            left[r["quality"]] -= r["size"]
+            taken.add(r["at"])
+    keys = docs.sparkSession.createDataFrame([(x,) for x in sorted(taken)], "at long")
+    rows = rows.withColumn("at", c.row_key()).join(F.broadcast(keys), "at").dropDuplicates(["at"])
     return [(r.quality, r.text.encode()) for r in rows.orderBy(rank, "doc_id", F.xxhash64("text")).collect()]
 
 
@@ -105,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, float, float]
     rest = [(q, t) for q in (0, 1) for t in (by[q][1::2] or by[q])]
     slope, offset = curve(np.array([sizes.difference(t) for _, t in rest]), np.array([q for q, _ in rest], float))
     # the sample is balanced only as far as its caps; the curve is moved to the labels' true shares
-    total = dict(labels.where(F.col("quality").isin(0, 1)).groupBy("quality").count().collect())
+    total = dict(labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("quality").count().collect())
     now = [sum(q == k for q, _ in rest) for k in (0, 1)]
     return good, bad, slope, offset + math.log(total[1] / total[0]) - math.log(now[1] / now[0])
 

@@ -241,3 +241,20 @@ def test_wrapped_licenses():
             assert index.match(wrapped.encode()).get(t) == 1.0, (text, k)
         assert index.match("\n".join(w).encode()).get(t) == 1.0
         assert t not in index.match((" " + "filler " * 40).join(w).encode())
+
+
+def test_classifier_sample(spark, monkeypatch):
+    """Texts that are null or don't fit leave the others in the sample; held-out labels don't move the curve."""
+    ids = spark.range(60).where(~quality_classifier.held_out(quality_classifier.F.col("id"))).selectExpr("id AS doc_id").collect()
+    monkeypatch.setattr(quality_classifier, "SAMPLE_BYTES", 4000)
+    rows = [(r.doc_id, None if k % 5 == 0 else "long " * 2000 if k % 5 == 1 else f"text {k} " * 5) for k, r in enumerate(ids)]
+    labels = [(r.doc_id, k % 2) for k, r in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    known = spark.createDataFrame(labels, "doc_id long, quality int").coalesce(1)
+    got = quality_classifier.sample(docs, known)
+    assert len(got) == sum(t is not None and len(t) <= 4000 for _, t in rows)
+    short, long = [t for _, t in rows if t is not None and len(t) < 4000], "b" * 3950
+    mixed = spark.createDataFrame([(i, long if k % 3 == 0 else "x") for k, (i, _) in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    assert len(short) == len(got) and sum(t == b"x" for _, t in quality_classifier.sample(mixed, known)) == sum(k % 3 > 0 for k in range(len(rows)))
+    out = spark.range(900).where(quality_classifier.held_out(quality_classifier.F.col("id"))).selectExpr("id AS doc_id", "1 AS quality")
+    assert quality_classifier.fit(docs, known) == quality_classifier.fit(docs, known.unionAll(out))
