@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 from lodestone.functions.profile import DEFAULT, Profile
-
+from lodestone.sources.shared import stored
 
 
 def reindexed(df: DataFrame) -> DataFrame:
@@ -48,6 +48,7 @@ def _page_breaks(df: DataFrame, dropped: DataFrame | None, p: Profile) -> DataFr
 def sentence_runover(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     """Joins the halves of a sentence on either side of a page break. A half that goes may itself be a page mark, which
     then no longer counts; such streams are gone over again until nothing changes (one pass, almost always)."""
+    df = stored(df)  # every round reads it twice
     dropped = None
     while True:
         hits = _page_breaks(df, dropped, p)

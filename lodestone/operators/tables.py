@@ -18,18 +18,32 @@ STRUCTURE = "struct<title:string,column_headers:array<string>,data_rows:array<ar
 
 
 def _kinds(df: DataFrame, p: Profile) -> DataFrame:
-    """Adds marker, title, tid and after (the raw next content)."""
+    """Adds marker, title, tid, after (the raw next content), goes_on (a mark of continuation), bound and note. What has
+    been through here stays as it is, so a stored table of it is classified once for all that reads it."""
+    if "goes_on" in df.columns:
+        return df
     c = F.col("content")
-    return df.withColumns({"marker": t.is_page_marker(c, p), "title": t.is_table_title(c), "tid": t.table_id(c), "after": F.lead("content").over(t.by_stream())})
+    return df.withColumns({
+        "marker": t.is_page_marker(c, p), "title": t.is_table_title(c), "tid": t.table_id(c), "after": F.lead("content").over(t.by_stream()),
+        "goes_on": t.is_continuation_marker(c), "bound": t.is_section_boundary(c), "note": t.is_footnote(c),
+    })
+
+
+def classified(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+    """The stream with what table detection asks of each paragraph, stored."""
+    return stored(_kinds(df, p))
+
+
+def _titled(df: DataFrame, p: Profile) -> DataFrame:
+    """The rows that are no page marks, with real: a title that isn't a mere continuation and has short rows behind it."""
+    rows = _kinds(df, p).where(~F.col("marker"))
+    short = F.coalesce(F.sum((F.length("content") < 80).cast("int")).over(t.by_stream().rowsBetween(1, 5)), F.lit(0))
+    return rows.withColumn("short", short).withColumn("real", F.col("title") & ~F.col("after").eqNullSafe(F.lit("Continued")) & (F.col("short") >= 2))
 
 
 def table_starts(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     """stream, start, table_id, page: titles that aren't mere continuations and have short rows behind them."""
-    rows = _kinds(df, p).where(~F.col("marker"))
-    short = F.sum((F.length("content") < 80).cast("int")).over(t.by_stream().rowsBetween(1, 5))
-    rows = rows.withColumn("short", F.coalesce(short, F.lit(0)))
-    real = F.col("title") & ~F.col("after").eqNullSafe(F.lit("Continued")) & (F.col("short") >= 2)
-    return rows.where(real).select("stream", F.col("idx").alias("start"), F.col("tid").alias("table_id"), "page")
+    return _titled(df, p).where("real").select("stream", F.col("idx").alias("start"), F.col("tid").alias("table_id"), "page")
 
 
 def continuations(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
@@ -37,10 +51,10 @@ def continuations(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     return _kinds(df, p).where(F.col("title") & (F.col("after") == "Continued")).select("stream", "idx", F.col("tid").alias("table_id"))
 
 
-def _until(df: DataFrame, stops: Column) -> tuple[DataFrame, Column]:
+def _until(df: DataFrame, stops: Column, p: Profile) -> tuple[DataFrame, Column]:
     """The rows with next (the first stop among the MAX_SCAN rows behind) and end (where the scan ends anyway); and the
     last row before either."""
-    rows = _kinds(df, DEFAULT)
+    rows = _kinds(df, p)
     ahead = t.by_stream().rowsBetween(1, MAX_SCAN)
     end = F.least(F.col("idx") + MAX_SCAN, F.max("idx").over(W.partitionBy("stream")))
     rows = rows.withColumn("next", F.min(F.when(stops, F.col("idx"))).over(ahead)).withColumn("end", end)
@@ -50,12 +64,12 @@ def _until(df: DataFrame, stops: Column) -> tuple[DataFrame, Column]:
 _HEAD = r"^[0-9]{2,}\.[0-9]+ [A-Z]"
 
 
-def raw_regions(df: DataFrame) -> DataFrame:
+def raw_regions(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     """The simpler rule for maintenance: from a title to the row before another table's title, a section or a Part."""
     c = F.col("content")
     other = F.when(F.col("title"), F.struct("tid", "idx"))
     ahead = t.by_stream().rowsBetween(1, MAX_SCAN)
-    rows, _ = _until(df, (c.rlike(_HEAD) & (F.length(c) > 20)) | c.rlike(r"^Part [IVX]+\."))
+    rows, _ = _until(df, (c.rlike(_HEAD) & (F.length(c) > 20)) | c.rlike(r"^Part [IVX]+\."), p)
     # of the titles ahead, the first with another id than this row's: collected within the bounded frame only
     rows = rows.withColumn("others", F.when(F.col("title"), F.collect_list(other).over(ahead)))
     first = F.array_min(F.transform(F.filter("others", lambda x: x["tid"] != F.col("tid")), lambda x: x["idx"]))
@@ -63,39 +77,36 @@ def raw_regions(df: DataFrame) -> DataFrame:
     return rows.where(F.col("title") & ~F.col("after").eqNullSafe(F.lit("Continued"))).select("stream", F.col("idx").alias("start"), F.col("tid").alias("table_id"), F.coalesce(stop - 1, F.col("end")).alias("finish"))
 
 
-def leading_cells(df: DataFrame) -> DataFrame:
+def leading_cells(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     """How many short rows that don't look like a section follow each title."""
     c = F.col("content")
-    rows, last = _until(df, (F.length(c) >= 80) | c.rlike(_HEAD))
+    rows, last = _until(df, (F.length(c) >= 80) | c.rlike(_HEAD), p)
     return rows.where(F.col("title") & ~F.col("after").eqNullSafe(F.lit("Continued"))).select("stream", F.col("idx").alias("start"), F.col("tid").alias("table_id"), (last - F.col("idx")).alias("cells"))
 
 
 def table_regions(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
-    """stream, start, finish, table_id, page of every table."""
-    starts = table_starts(df, p)
-    rows = _kinds(df, p).join(starts.select("stream", F.col("start").alias("idx"), F.col("table_id").alias("own"), F.col("page").alias("own_page")), ["stream", "idx"], "left")
-    s = F.col("own").isNotNull()
-    rows = rows.withColumns({"start": F.last(F.when(s, F.col("idx")), ignorenulls=True).over(t.by_stream()), "region_id": F.last("own", ignorenulls=True).over(t.by_stream()), "region_page": F.last("own_page", ignorenulls=True).over(t.by_stream())})
-    rows = rows.where(F.col("start").isNotNull() & (F.col("idx") > F.col("start")) & (F.col("idx") < F.col("start") + MAX_SCAN) & ~F.col("marker"))
-    pair = F.col("title") & (F.col("tid") == F.col("region_id")) & F.col("after").eqNullSafe(F.lit("Continued"))
+    """stream, start, finish, table_id, page of every table. One partitioning by stream carries all windows."""
+    head = F.when(F.col("real"), F.struct("idx", "tid", "page"))
+    rows = _titled(df, p).withColumn("head", F.last(head, ignorenulls=True).over(t.by_stream())).where("head is not null and idx < head.idx + " + str(MAX_SCAN))
+    rows = rows.withColumn("start", F.col("head.idx"))
+    pair = F.col("title") & (F.col("tid") == F.col("head.tid")) & F.col("after").eqNullSafe(F.lit("Continued"))
     c = F.col("content")
-    kind = F.when(pair, "P").when(F.col("title"), "T").when(t.is_continuation_marker(c), "M").when(t.is_section_boundary(c), "S").otherwise("C")
+    kind = F.when(F.col("real"), "H").when(pair, "P").when(F.col("title"), "T").when(F.col("goes_on"), "M").when(F.col("bound"), "S").otherwise("C")
     by = W.partitionBy("stream", "start").orderBy("idx")
     before = by.rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("kind", kind)
     content = F.col("kind") == "C"
     rows = rows.withColumn("jumps", F.sum(F.col("kind").isin("P", "M").cast("int")).over(by))
     rows = rows.withColumns({
-        "prev_page": F.coalesce(F.last(F.when(content, F.col("page")), ignorenulls=True).over(before), F.col("region_page")),
+        "prev_page": F.coalesce(F.last(F.when(content, F.col("page")), ignorenulls=True).over(before), F.col("head.page")),
         "prev_jumps": F.coalesce(F.last(F.when(content, F.col("jumps")), ignorenulls=True).over(before), F.lit(0)),
         "seen": F.coalesce(F.max((content & (F.length(c) < 60)).cast("int")).over(before), F.lit(0)) > 0,
     })
-    jump = content & (F.length(c) >= 60) & F.col("seen") & ~t.is_footnote(c) & (F.col("page") != F.col("prev_page")) & (F.col("jumps") == F.col("prev_jumps"))
-    stop = F.col("kind").isin("T", "S") | jump
-    rows = rows.withColumn("first_stop", F.min(F.when(stop, F.col("idx"))).over(W.partitionBy("stream", "start")))
-    inside = F.col("kind").isin("C", "M") & (F.col("first_stop").isNull() | (F.col("idx") < F.col("first_stop")))
-    ends = rows.groupBy("stream", "start").agg(F.max(F.when(inside, F.col("idx"))).alias("finish"))
-    return starts.join(ends, ["stream", "start"], "left").select("stream", "start", F.coalesce("finish", "start").alias("finish"), "table_id", "page")
+    jump = content & (F.length(c) >= 60) & F.col("seen") & ~F.col("note") & (F.col("page") != F.col("prev_page")) & (F.col("jumps") == F.col("prev_jumps"))
+    stops = F.sum((F.col("kind").isin("T", "S") | jump).cast("int")).over(by)
+    inside = F.col("kind").isin("H", "C", "M") & (F.col("stops") == 0)
+    ends = rows.withColumn("stops", stops).groupBy("stream", "start").agg(F.max(F.when(inside, F.col("idx"))).alias("finish"), F.first("head").alias("h"))
+    return ends.select("stream", "start", "finish", F.col("h.tid").alias("table_id"), F.col("h.page").alias("page"))
 
 
 def _in_regions(df: DataFrame, regions: DataFrame, p: Profile) -> DataFrame:
@@ -110,7 +121,7 @@ def table_fragments(df: DataFrame, regions: DataFrame, p: Profile = DEFAULT) ->
     that such a mark makes a repetition."""
     rows = _in_regions(df, regions, p).where(~F.col("marker"))
     again = F.col("title") & (F.col("tid") == F.col("region_id"))
-    m = t.is_continuation_marker(F.col("content"))
+    m = F.col("goes_on")
     before = W.partitionBy("stream", "start").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("behind", F.coalesce(F.last(F.when(~again, m), ignorenulls=True).over(before), F.lit(False)))
     rows = rows.where(~m & ~(again & F.col("behind")))
@@ -120,10 +131,10 @@ def table_fragments(df: DataFrame, regions: DataFrame, p: Profile = DEFAULT) ->
 
 def interruptions(df: DataFrame, regions: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     """stream, start, finish, pre_idx, post_idx, joined of the tables that cut a sentence in two."""
-    rows = _kinds(df, p)
-    real = ~F.col("marker")
-    near = lambda f, w: f(F.when(real, F.struct("idx", "content")), ignorenulls=True).over(w)
-    rows = rows.withColumns({"pre": near(F.last, t.by_stream().rowsBetween(W.unboundedPreceding, -1)), "post": near(F.first, t.by_stream().rowsBetween(1, W.unboundedFollowing))})
+    real = F.when(~F.col("marker"), F.struct("idx", "content"))
+    back = W.partitionBy("stream").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
+    rows = _kinds(df, p).withColumn("pre", F.last(real, ignorenulls=True).over(t.by_stream().rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("post", F.last(real, ignorenulls=True).over(back))
     pre = rows.select("stream", F.col("idx").alias("start"), "pre")
     post = rows.select("stream", F.col("idx").alias("finish"), "post")
     cut = regions.join(pre, ["stream", "start"]).join(post, ["stream", "finish"]).where(F.col("pre").isNotNull() & F.col("post").isNotNull())
@@ -223,6 +234,7 @@ def formatted(fragments: DataFrame, cache: DataFrame | None = None, rebuild: Col
 
 def table_pass(df: DataFrame, cache: DataFrame | None = None, rebuild: Column | None = None, p: Profile = DEFAULT) -> DataFrame:
     """The stream with every table as one paragraph at its start, once for each id, and cut sentences whole again."""
+    df = classified(df, p)
     regions = stored(table_regions(df, p))
     cuts = stored(interruptions(df, regions, p))
     built = formatted(table_fragments(df, regions, p), cache, rebuild)
@@ -231,7 +243,7 @@ def table_pass(df: DataFrame, cache: DataFrame | None = None, rebuild: Column |
     gone = regions.join(cuts.select("stream", "start", "post_idx"), ["stream", "start"], "left")
     gone = gone.select("stream", F.explode(F.sequence("start", F.coalesce("post_idx", "finish"))).alias("idx")).distinct()
     joined = cuts.groupBy("stream", F.col("pre_idx").alias("idx")).agg(F.max_by("joined", "start").alias("joined"))
-    rows = df.join(gone.withColumn("gone", F.lit(True)), ["stream", "idx"], "left").join(made, ["stream", "idx"], "left").join(joined, ["stream", "idx"], "left")
+    rows = df.select("stream", "idx", "content", "page").join(gone.withColumn("gone", F.lit(True)), ["stream", "idx"], "left").join(made, ["stream", "idx"], "left").join(joined, ["stream", "idx"], "left")
     rows = rows.where(F.col("gone").isNull() | F.col("formatted").isNotNull())
     content = F.when(F.col("gone").isNotNull(), F.col("formatted")).otherwise(F.coalesce("joined", "content"))
     return reindexed(rows.select("stream", "idx", content.alias("content"), "page"))

@@ -13,7 +13,7 @@ from lodestone.sources.shared import stored
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    df = paragraphs(spark, sf_dir)
+    df = tb.classified(paragraphs(spark, sf_dir))
     return df, stored(tb.table_regions(df))
 
 
@@ -75,15 +75,16 @@ def paired(fragments: Column) -> Column:
     return F.struct(F.trim(F.replace(F.element_at(fragments, 1), F.lit("*"), F.lit(""))).alias("title"), F.slice(cells, 1, 2).alias("column_headers"), rows.alias("data_rows"), notes.alias("footnotes"))
 
 
-PAIRED = """cleancells AS (SELECT stream, start, table_id, trim(replace(fragments[1], '*', '')) AS title, list_transform(fragments[2:], lambda x: trim(x)) AS cells FROM fragments WHERE len(fragments) > 4),
+PAIRED = """cleancells AS (SELECT stream, start, table_id, trim(replace(fragments[1], '*', '')) AS title, list_transform(fragments[2:], lambda x: trim(x)) AS cells FROM fragments),
 paired AS (SELECT stream, start, table_id, title, cells[1:2] AS heads, list_transform(range((len(cells) - 2) // 2), lambda i: [cells[2 * i + 3], cells[2 * i + 4]]) AS data, CASE WHEN (len(cells) - 2) % 2 = 1 THEN cells[-1:] ELSE [] END AS notes FROM cleancells)"""
 ROW = "'| ' || array_to_string({}, ' | ') || ' |'"
-RENDERED = f"'**' || title || '**' || chr(10) || chr(10) || {ROW.format('heads')} || chr(10) || '| --- | --- |' || array_to_string(list_transform(data, lambda r: chr(10) || {ROW.format('r')}), '') || CASE WHEN len(notes) > 0 THEN chr(10) || chr(10) || array_to_string(list_transform(notes, lambda n: '> ' || n), chr(10)) ELSE '' END"
+RULE = ROW.format("list_transform(heads, lambda h: '---')")
+RENDERED = f"'**' || title || '**' || chr(10) || chr(10) || {ROW.format('heads')} || chr(10) || {RULE} || array_to_string(list_transform(data, lambda r: chr(10) || {ROW.format('r')}), '') || CASE WHEN len(notes) > 0 THEN chr(10) || chr(10) || array_to_string(list_transform(notes, lambda n: '> ' || n), chr(10)) ELSE '' END"
 
 
 def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stream, start, table_id, fragments and structure of every table of at least five fragments."""
-    f = tb.table_fragments(*_regions(spark, sf_dir)).where(F.size("fragments") > 4)
+    """stream, start, table_id, fragments and structure of every table, however small."""
+    f = tb.table_fragments(*_regions(spark, sf_dir))
     return stored(f.withColumn("structure", paired(F.col("fragments"))))
 
 
@@ -92,16 +93,16 @@ def table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _structures(spark, sf_dir).select("stream", "start", tb.render(F.col("structure")).alias("markdown"))
 
 
-SHOWN = f"'**' || title || '**' || chr(10) || {ROW.format('heads')} || chr(10) || '| --- | --- |' || array_to_string(list_transform(data, lambda r: chr(10) || {ROW.format('r')}), '') || array_to_string(list_transform(notes, lambda n: chr(10) || '> ' || n), '')"
+SHOWN = f"'**' || title || '**' || CASE WHEN len(heads) > 0 THEN chr(10) || {ROW.format('heads')} || chr(10) || {RULE} || array_to_string(list_transform(data, lambda r: chr(10) || {ROW.format('r')}), '') ELSE '' END || array_to_string(list_transform(notes, lambda n: chr(10) || '> ' || n), '')"
 
 
-@query("table_display", o.sql(f"SELECT stream, start, {SHOWN} AS markdown, title || chr(10) || 'Columns: ' || array_to_string(heads, ' | ') AS to_embed FROM paired", "fragments", extra=PAIRED))
+@query("table_display", o.sql(f"SELECT stream, start, {SHOWN} AS markdown, title || CASE WHEN len(heads) > 0 THEN chr(10) || 'Columns: ' || array_to_string(heads, ' | ') ELSE '' END AS to_embed FROM paired", "fragments", extra=PAIRED))
 def table_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("structure")
     return _structures(spark, sf_dir).select("stream", "start", tb.display(s).alias("markdown"), tb.embedding_text(s).alias("to_embed"))
 
 
-@query("table_review", o.sql(f"SELECT stream, start, '| # | ' || array_to_string(heads, ' | ') || ' |' || chr(10) || '| --- | --- | --- |' || array_to_string(list_transform(data, lambda r, i: chr(10) || '| ' || i || ' | ' || array_to_string(r, ' | ') || ' |'), '') || array_to_string(list_transform(notes, lambda n: chr(10) || '- ' || n), '') AS listing FROM paired", "fragments", extra=PAIRED))
+@query("table_review", o.sql(f"SELECT stream, start, '| # | ' || array_to_string(heads, ' | ') || ' |' || chr(10) || '| --- ' || {RULE} || array_to_string(list_transform(data, lambda r, i: chr(10) || '| ' || i || ' | ' || array_to_string(r, ' | ') || ' |'), '') || array_to_string(list_transform(notes, lambda n: chr(10) || '- ' || n), '') AS listing FROM paired", "fragments", extra=PAIRED))
 def table_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _structures(spark, sf_dir).select("stream", "start", tb.numbered(F.col("structure")).alias("listing"))
 
@@ -150,7 +151,7 @@ TRIAGE = """, cached AS (SELECT table_id, CAST(max(len(data)) AS BIGINT) AS n_ro
 def table_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tb.table_fragments(*_regions(spark, sf_dir))
     output = f.where(F.size("fragments") < 12).select("table_id", F.when(F.size("fragments") > 8, F.array_join("fragments", " | ")).otherwise(F.array_join("fragments", "\n")).alias("content"))
-    cache = f.where(F.size("fragments") > 4).withColumn("structure", paired(F.col("fragments")))
+    cache = f.withColumn("structure", paired(F.col("fragments")))
     cache = cache.groupBy("table_id").agg(F.max_by("structure", F.size("structure.data_rows")).alias("structure"))
     return tb.triage(output, cache)
 
@@ -171,7 +172,7 @@ KIND = "CASE CAST(regexp_extract(table_id, '[0-9]+') AS BIGINT) % 6 WHEN 0 THEN
 
 @query("corrections_apply", o.sql(f"""SELECT table_id, CASE coalesce(kind, 'ok') WHEN 'ok' THEN 'keep' WHEN 'manual_override' THEN 'skip' ELSE 'rebuild' END AS action,
  array_to_string(CASE WHEN kind = 'multi_page_merge' THEN list_concat(parts[1], flatten(list_transform(parts[2:], lambda p: list_filter(p, lambda y: y <> parts[1][1])))) ELSE parts[1] END, '|') AS fragments, CASE WHEN kind = 'llm_retry_with_instructions' THEN 'look again' END AS instructions
- FROM (SELECT table_id, {KIND} AS kind, list(fragments ORDER BY stream, start) AS parts FROM (SELECT * FROM fragments WHERE len(fragments) > 4) GROUP BY table_id)""", "fragments"))
+ FROM (SELECT table_id, {KIND} AS kind, list(fragments ORDER BY stream, start) AS parts FROM fragments GROUP BY table_id)""", "fragments"))
 def corrections_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _structures(spark, sf_dir)
     no = F.lit(None).cast(tb.STRUCTURE)

@@ -18,6 +18,8 @@ CONTENT = f"""CASE
  WHEN idx % 40 = 0 THEN 'ARTICLE ' || ({ART}) || ' Topic ' || DIV(idx, 40)
  WHEN idx % 40 = 1 THEN 'Part ' || CASE DIV(idx, 40) % 4 WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'IV' ELSE 'XI' END || '. Heading ' || (DIV(idx, 40) % 5)
  WHEN idx % 40 = 9 OR (idx % 40 = 18 AND DIV(idx, 40) % 3 = 0) THEN 'Table ' || ({ART}) || '.' || (DIV(idx, 40) % 3 + 1) || CASE WHEN DIV(idx, 40) % 2 = 0 THEN ' (A)' ELSE '' END || ' Ratings of ' || substr(body, 1, 12)
+ WHEN idx % 40 = 8 AND DIV(idx, 40) % 3 = 0 THEN body || ' with the'
+ WHEN idx % 40 = 12 AND DIV(idx, 40) % 3 = 0 THEN 'rest of a sentence that a table at the page end has cut in two halves, ' || lower(body)
  WHEN idx % 40 BETWEEN 10 AND 16 THEN CASE idx % 3 WHEN 0 THEN CAST(idx % 97 AS VARCHAR(20)) WHEN 1 THEN (idx % 50) || '/' || (idx % 7) ELSE substr(body, 1, 14) END
  WHEN idx % 40 = 17 THEN CASE DIV(idx, 40) % 3 WHEN 0 THEN '(continues)' WHEN 1 THEN '1 Footnote in Column ' || substr(body, 1, 60) ELSE lower(body) END
  WHEN idx % 40 = 19 AND DIV(idx, 40) % 3 = 0 THEN 'Continued'
@@ -63,7 +65,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DUCK_STREAM = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-numbered AS (SELECT doc_id // 100 AS stream, replace(substr(line, 1, 400), '|', '/') AS body, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id, pos) - 1 AS idx FROM lines),
+numbered AS (SELECT doc_id // 100 AS stream, replace(line, '|', '/') AS body, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id, pos) - 1 AS idx FROM lines),
 paged AS (SELECT *, 20 + idx // 12 AS page FROM numbered),
 stream AS (SELECT stream, idx, {overlay_sql('duckdb')} AS content, page FROM paged)"""
 
