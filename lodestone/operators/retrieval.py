@@ -2,54 +2,93 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the vectors carries along; more go in several passes.
-MAX_QUERIES = 4096
+from lodestone.sources.shared import stored
+
+#: Queries that one pass over the data carries along; more go in several passes.
+MAX_QUERIES, MAX_TEXTS = 4096, 512
 HITS = "query_id long, vec_id long, distance double"
+FOUND = "query_id long, doc_id long, n long, both long, m long"
 
 
-def _passes(queries: DataFrame) -> list[list]:
-    """Query rows in bounded batches; what the driver holds at once is one batch."""
-    batch, out = [], []
+def _passes(queries: DataFrame, most: int) -> Iterator[list]:
+    """Query rows in batches of ``most``; the driver holds one at a time."""
+    batch = []
     for row in queries.orderBy("query_id").toLocalIterator():
         batch.append(row)
-        if len(batch) == MAX_QUERIES:
-            out.append(batch)
+        if len(batch) == most:
+            yield batch
             batch = []
-    return out + [batch] if batch or not out else out
+    if batch:
+        yield batch
+
+
+def _united(queries: DataFrame, most: int, one: Callable[[list], DataFrame], schema: str) -> DataFrame:
+    """What ``one`` makes of each batch. A full batch's result is stored, so that its queries can go."""
+    out = queries.sparkSession.createDataFrame([], schema)
+    for rows in _passes(queries, most):
+        out = out.unionAll(stored(one(rows)) if len(rows) == most else one(rows))
+    return out
+
+
+class Best:
+    """The k smallest by (value, id) of each of n queries, over all that has been added."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.worst, self.last = np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)
+        self.held = [np.zeros(0, x) for x in (np.int64, float, np.int64, np.int64)]
+
+    def add(self, value: np.ndarray, ids: np.ndarray, more: np.ndarray) -> None:
+        """value: a row for each query, a column for each id; ``more`` goes along with the id."""
+        w = self.worst[:, None]
+        q, j = np.nonzero((value < w) | ((value == w) & (ids[None, :] < self.last[:, None]) & np.isfinite(value)))
+        if not len(q):
+            return
+        q, v, i, m = (np.concatenate(x) for x in zip(self.held, (q, value[q, j], ids[j], more[j]), strict=True))
+        order = np.lexsort((i, v, q))
+        q, v, i, m = q[order], v[order], i[order], m[order]
+        first = np.searchsorted(q, np.arange(len(self.worst) + 1))
+        place = np.arange(len(q)) - first[q]
+        full = np.flatnonzero(np.diff(first) >= self.k)
+        at = first[full] + self.k - 1
+        self.worst[full], self.last[full] = v[at], i[at]
+        self.held = [x[place < self.k] for x in (q, v, i, m)]
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """query_id, rank, vec_id and cosine distance of the k nearest of vectors (vec_id, embedding) to each query
-    (query_id, embedding). Every partition keeps its own k for each query, so little is shuffled; ties go by id."""
-    found = None
-    for rows in _passes(queries):
+    (query_id, embedding). Every partition keeps k for each query, so little is shuffled; ties go by id."""
+    vectors = vectors.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null")
+
+    def one(rows: list) -> DataFrame:
         ids = np.array([r.query_id for r in rows], np.int64)
         q = np.array([r.embedding for r in rows], float).reshape(len(rows), -1)
+        unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-        def near(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(ids), k)
             for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
                 v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-                d = np.round(1 - unit @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 9) + 0.0
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 vec = b.column(0).to_numpy()
-                order = np.lexsort((np.broadcast_to(vec, d.shape), d), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(vec[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["query_id", "vec_id", "distance"])
+                for i in range(0, b.num_rows, 1024):
+                    best.add(np.round(1 - unit @ v[i : i + 1024].T, 9) + 0.0, vec[i : i + 1024], vec[i : i + 1024])
+            n, d, vec, _ = best.held
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n]), pa.array(vec), pa.array(d)], ["query_id", "vec_id", "distance"])
+
+        return vectors.mapInArrow(near, HITS)
 
-        part = vectors.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null").mapInArrow(near, HITS)
-        found = part if found is None else found.unionAll(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id")).cast("bigint")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return _united(queries, MAX_QUERIES, one, HITS).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
 def negative_l1(a: Column, b: Column) -> Column:
@@ -73,12 +112,38 @@ def tokens(c: Column) -> Column:
 
 def lexical(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """The k documents (doc_id, text) with the largest ``share`` of each query's (query_id, text) distinct words; score is
-    the share of the document's words. Words of the queries are few; counts are summed before the shuffle."""
-    q = queries.select("query_id", tokens(F.col("text")).alias("qt")).where(F.size("qt") > 0)
-    words = q.select("query_id", F.size("qt").alias("n"), F.explode("qt").alias("w"))
-    have = docs.select("doc_id", tokens(F.col("text")).alias("dt")).select("doc_id", F.size("dt").alias("m"), F.explode("dt").alias("w"))
-    both = F.count("*")
-    s = have.join(words, "w").groupBy("query_id", "doc_id").agg(F.round(both / F.max("n"), 6).alias("share"), F.round(both / F.max("m"), 6).alias("score"))
+    the share of the document's words. A document meets a batch of queries at once, as a product of 0/1 matrices, and
+    every partition keeps k for each query, so no pair of query and document is shuffled that can't be among the best."""
+    asked = queries.select("query_id", tokens(F.col("text")).alias("qt")).where(F.size("qt") > 0)
+    have = docs.select(F.col("doc_id").cast("long"), tokens(F.col("text")).alias("dt")).where("dt is not null")
+
+    def one(rows: list) -> DataFrame:
+        ids, size = np.array([r.query_id for r in rows], np.int64), np.array([len(r.qt) for r in rows], np.int64)
+        words = sorted({w for r in rows for w in r.qt})
+        number = {w: i for i, w in enumerate(words)}
+        held = np.zeros((len(words), len(rows)), np.float32)
+        for j, r in enumerate(rows):
+            held[[number[w] for w in r.qt], j] = 1
+        step = max(1, (16 << 20) // len(words))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top, vocabulary = Best(len(ids), k), pa.array(words)
+            for b in batches:
+                for i in range(0, b.num_rows, step):
+                    part = b.slice(i, step)
+                    size_of = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                    at = pc.index_in(part.column(1).flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+                    doc = np.repeat(np.arange(part.num_rows), size_of)
+                    has = np.zeros((part.num_rows, len(words)), np.float32)
+                    has[doc[at >= 0], at[at >= 0]] = 1
+                    both = (has @ held).T
+                    top.add(np.where(both > 0, -both, np.inf), part.column(0).to_numpy(), size_of)
+            q, n, doc, m = top.held
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[q], doc, size[q], (-n).astype(np.int64), m)], ["query_id", "doc_id", "n", "both", "m"])
+
+        return have.mapInArrow(best, FOUND)
+
+    s = _united(asked, MAX_TEXTS, one, FOUND).select("query_id", "doc_id", F.round(F.col("both") / F.col("n"), 6).alias("share"), F.round(F.col("both") / F.col("m"), 6).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("share"), "doc_id")).cast("bigint")
     return s.withColumn("rank", rank).where(F.col("rank") <= k)
 
