@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 BUCKETS = ((1, 5), (6, 10), (11, 15), (16, 20), (21, 30), (31, 50))
 
 
-def chunk_matches(section: Column, refs: Column, prefixes: Column, ids: Column) -> Column:
-    """A chunk counts if its id starts with a prefix or is a wanted table, or if it names one."""
-    return F.exists(prefixes, lambda x: section.startswith(x)) | F.array_contains(ids, section) | F.arrays_overlap(refs, ids)
+def chunk_matches(section: Column, refs: Column, prefixes: Column, ids: Column, strict: bool = False) -> Column:
+    """A chunk counts if its id starts with a prefix or is a wanted table, or if it names one. strict: the prefix's last
+    number must end there, so 300.5 isn't in 300.50."""
+    whole = lambda x: ~F.substr(section, F.length(x) + 1, F.lit(1)).rlike("[0-9]") if strict else F.lit(True)
+    return F.exists(prefixes, lambda x: section.startswith(x) & whole(x)) | F.array_contains(ids, section) | F.arrays_overlap(refs, ids)
 
 
 def first_ranks(hits: DataFrame) -> DataFrame:
@@ -68,3 +70,25 @@ def same_answer(a: Column, b: Column) -> Column:
     """A judge that needs no model: equal letters and digits, whatever the case and what stands between."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     return plain(a) == plain(b)
+
+
+def shown_rank(rank: Column) -> Column:
+    return F.when(rank.isNull(), "MISS").otherwise(F.concat(F.lit("#"), rank.cast("string")))
+
+
+def comparison(pairs: DataFrame) -> DataFrame:
+    """query_id, embedding, reranked and change as they are shown, of pairs (query_id, skipped, before, after)."""
+    b, a = F.col("before"), F.col("after")
+    step = F.when(b > a, F.concat(F.lit("+"), (b - a).cast("string"))).when(b < a, (b - a).cast("string")).when(b == a, "=")
+    change = F.coalesce(step, F.when(a.isNotNull(), "NEW").when(b.isNotNull(), "LOST").otherwise("-"))
+    na = lambda x: F.when(F.col("skipped"), "n/a").otherwise(x)
+    return pairs.select("query_id", na(shown_rank(b)).alias("embedding"), na(shown_rank(a)).alias("reranked"), na(change).alias("change"))
+
+
+def comparison_detail(judged: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, ordering, place, vec_id and hit: the first places of either order, of the queries whose first match moved
+    or stands behind the fifth place."""
+    same = F.col("before").eqNullSafe(F.col("after")) & F.coalesce(F.col("before") <= 5, F.lit(False))
+    rows = judged.join(pairs.where(~F.col("skipped") & ~same).select("query_id"), "query_id", "left_semi")
+    both = F.array(F.struct(F.lit("embedding").alias("ordering"), F.col("rank").alias("place")), F.struct(F.lit("reranked").alias("ordering"), F.col("rerank").alias("place")))
+    return rows.select("query_id", "vec_id", F.col("match").alias("hit"), F.inline(both)).where(F.col("place") <= most)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import get_close_matches
+from collections.abc import Iterator
+from difflib import SequenceMatcher, get_close_matches
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 from lodestone.functions.profile import DEFAULT, Profile
+from lodestone.sources.shared import stored
 
 MAX_IDS = 10
 ROMAN = {1: "I", 2: "II", 3: "III", 4: "IV", 5: "V", 6: "VI", 7: "VII", 8: "VIII", 9: "IX", 10: "X"}
@@ -23,34 +25,71 @@ def section_index(subs: DataFrame) -> DataFrame:
     return subs.where("chapter is not null").groupBy("section").agg(s.alias("s")).select("section", "s.*")
 
 
-def lookup(requests: DataFrame, sections: DataFrame, tables: DataFrame) -> DataFrame:
+def lookup(requests: DataFrame, sections: DataFrame, tables: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """req_id and answer for requests (req_id, ord, kind: section or table, raw_id): sections first, then tables, each in
     the order asked for. Blank ids don't count; none, or more than MAX_IDS, is an error.
-    sections: section, article, page, text; tables: table_id, markdown."""
+    sections: section, article, page, text; tables: table_id, markdown. With hints (kind, key, similar), what isn't found
+    says how its id was read and which ids are like it."""
     r = requests.withColumn("id", F.trim("raw_id"))
     n = r.groupBy("req_id").agg(F.count_if((F.col("id") != "")).alias("n"))
-    r = r.where("id <> ''").withColumn("key", F.when(F.col("kind") == "table", t.normalized_table_id(F.col("id"))).otherwise(F.col("id")))
-    hit = r.join(sections.withColumn("kind", F.lit("section")).withColumnRenamed("section", "key"), ["kind", "key"], "left").join(tables.withColumn("kind", F.lit("table")).withColumnRenamed("table_id", "key"), ["kind", "key"], "left")
+    hit = _keyed(requests).join(sections.withColumn("kind", F.lit("section")).withColumnRenamed("section", "key"), ["kind", "key"], "left").join(tables.withColumn("kind", F.lit("table")).withColumnRenamed("table_id", "key"), ["kind", "key"], "left")
     found = F.when(F.col("kind") == "table", F.col("markdown")).otherwise(F.concat(F.lit("[Section "), "key", F.lit(", Article "), F.col("article").cast("string"), F.lit(", page "), F.col("page").cast("string"), F.lit("]\n"), "text"))
     missing = F.concat(F.lit("Error: "), "kind", F.lit(" '"), "id", F.lit("' not found."))
+    if hints is not None:
+        hit = hit.join(hints.select("kind", "key", "similar"), ["kind", "key"], "left")
+        read = F.when(F.col("kind") == "table", F.concat(F.lit(" (normalised: '"), "key", F.lit("')"))).otherwise("")
+        some = F.when(F.size(F.coalesce("similar", F.array().cast("array<string>"))) > 0, F.array_join("similar", ", ")).otherwise("(no similar IDs found)")
+        missing = F.concat(F.lit("Error: "), "kind", F.lit(" '"), "id", F.lit("'"), read, F.lit(" not found. Similar "), "kind", F.lit(" IDs: "), some)
     part = F.struct((F.col("kind") == "table").alias("last"), "ord", F.coalesce(found, missing).alias("t"))
     one = hit.groupBy("req_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("answer"))
     too_many = F.concat(F.lit("Error: requested "), F.col("n").cast("string"), F.lit(f" IDs but the maximum is {MAX_IDS} total per call."))
     return n.join(one, "req_id", "left").select("req_id", F.when(F.col("n") == 0, F.lit("Error: at least one id must be provided.")).when(F.col("n") > MAX_IDS, too_many).otherwise(F.col("answer")).alias("answer"))
 
 
-def suggestions(missing: DataFrame, ids: DataFrame, n: int = 5, most: int = 100_000) -> DataFrame:
-    """missing (id) with ``similar``: up to n of ids (id) by difflib's ratio of 0.4 or more. The list of valid ids is sent
-    to the executors if it has at most ``most`` entries; a longer one is refused."""
-    valid = [r.id for r in ids.select("id").distinct().orderBy("id").limit(most + 1).collect()]
-    if len(valid) > most:
-        raise ValueError(f"over {most} ids: narrow them first")
+def _keyed(requests: DataFrame) -> DataFrame:
+    r = requests.withColumn("id", F.trim("raw_id")).where("id <> ''")
+    return r.withColumn("key", F.when(F.col("kind") == "table", t.normalized_table_id(F.col("id"))).otherwise(F.col("id")))
 
-    @F.pandas_udf("array<string>")
-    def close(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: get_close_matches(x, valid, n=n, cutoff=0.4))
 
-    return missing.withColumn("similar", close("id"))
+def hinted_lookup(requests: DataFrame, sections: DataFrame, tables: DataFrame) -> DataFrame:
+    """lookup() with similar ids for what isn't found."""
+    hints = None
+    for kind, ids in (("section", sections.select(F.col("section").alias("id"))), ("table", tables.select(F.col("table_id").alias("id")))):
+        missing = _keyed(requests).where(F.col("kind") == kind).select(F.col("key").alias("id")).distinct().join(ids, "id", "left_anti")
+        one = suggestions(missing, ids).select(F.lit(kind).alias("kind"), F.col("id").alias("key"), "similar")
+        hints = one if hints is None else hints.unionAll(one)
+    return lookup(requests, sections, tables, hints)
+
+
+#: Valid ids that are compared with all missing ones in one pass; the driver holds so many at once.
+MAX_VALID = 100_000
+SIMILAR = "id string, other string, ratio double"
+
+
+def suggestions(missing: DataFrame, ids: DataFrame, n: int = 5, cutoff: float = 0.4) -> DataFrame:
+    """missing (id) with ``similar``: up to n of ids (id) by difflib's ratio of ``cutoff`` or more, the best first, equal
+    ones in falling order. Valid ids go in blocks of MAX_VALID, and each pass keeps n for each missing id."""
+    asked = missing.select("id").where("id is not null").distinct()
+    found = asked.sparkSession.createDataFrame([], SIMILAR)
+
+    def one(valid: list[str]) -> DataFrame:
+        def close(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                rows = [(x, y, SequenceMatcher(None, y, x).ratio()) for x in p["id"] for y in get_close_matches(x, valid, n=n, cutoff=cutoff)]
+                yield pd.DataFrame(rows, columns=["id", "other", "ratio"])
+
+        return asked.mapInPandas(close, SIMILAR)
+
+    block: list[str] = []
+    for r in ids.select("id").where("id is not null").distinct().orderBy("id").toLocalIterator():
+        block.append(r.id)
+        if len(block) == MAX_VALID:
+            found = found.unionAll(stored(one(block)))
+            block = []
+    found = found.unionAll(one(block)) if block else found
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("ratio"), F.desc("other")))
+    best = found.withColumn("place", place).where(F.col("place") <= n).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]).alias("similar"))
+    return missing.join(best, "id", "left").withColumn("similar", F.coalesce("similar", F.array().cast("array<string>")))
 
 
 def prefix_lookup(requests: DataFrame, tables: DataFrame) -> DataFrame:
@@ -63,9 +102,11 @@ def prefix_lookup(requests: DataFrame, tables: DataFrame) -> DataFrame:
     return exact.unionAll(near).groupBy("raw_id").agg(t.ordered_join(F.col("table_id"), F.col("markdown"), "\n\n").alias("markdown"))
 
 
-def outline(subs: DataFrame, rows: DataFrame, part: int | None = None) -> DataFrame:
-    """stream, article and its outline: parts, subsections (titles cut at 120), then the text of section n.1."""
+def outline(subs: DataFrame, rows: DataFrame, by_part: bool = False) -> DataFrame:
+    """stream, article and its outline: parts, subsections (titles cut at 120), then the text of section n.1. by_part:
+    one outline for each part that has a number instead, with ``part``."""
     s = subs.where("chapter is not null")
+    keys = ["stream", "article", "part"] if by_part else ["stream", "article"]
     named = F.col("part").isNotNull()
     title = F.when(F.length("title") > 120, F.concat(F.substring("title", 1, 117), F.lit("..."))).otherwise(F.col("title"))
     line = F.concat(F.when(named, "      ").otherwise("  "), "section", F.lit(" "), title, F.lit(" (page "), F.col("page").cast("string"), F.lit(")"))
@@ -74,14 +115,43 @@ def outline(subs: DataFrame, rows: DataFrame, part: int | None = None) -> DataFr
     lines = s.select("stream", "article", "part", "part_ord", F.lit(1).alias("k"), "ord", line.alias("line"))
     heads = s.where(named).groupBy("stream", "article", "part", "part_ord").agg(F.min_by("part_title", "ord").alias("pt")).select("stream", "article", "part", "part_ord", F.lit(0).alias("k"), F.col("part_ord").alias("ord"), F.concat(F.lit("  Part "), "part", F.lit(": "), F.coalesce("pt", F.lit("None"))).alias("line"))
     both = lines.unionByName(heads)
-    if part is not None:
-        both = both.where(F.col("part") == ROMAN.get(part, ""))
-    body = both.groupBy("stream", "article").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_ord", "k", "ord", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    body = (both.where(named) if by_part else both).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_ord", "k", "ord", "line"))), lambda x: x["line"]), "\n").alias("body"))
     names = rows.where("kind = 'article'").groupBy("stream", "article").agg(F.min_by("article_title", "idx").alias("name"))
     scope = s.where(F.col("section") == F.concat(F.col("article").cast("string"), F.lit(".1"))).groupBy("stream", "article").agg(F.min_by(F.array_join("paragraphs", "\n"), "ord").alias("scope"))
     out = body.join(names, ["stream", "article"], "left").join(scope, ["stream", "article"], "left")
     tail = F.when(F.col("scope").isNotNull(), F.concat(F.lit("\n\n--- Scope ---\n"), "scope")).otherwise("")
-    return out.select("stream", "article", F.concat(F.lit("Article "), F.col("article").cast("string"), F.lit(": "), "name", F.lit("\n"), "body", tail).alias("outline"))
+    return out.select(*keys, F.concat(F.lit("Article "), F.col("article").cast("string"), F.lit(": "), "name", F.lit("\n"), "body", tail).alias("outline"))
+
+
+def _listed(c: F.Column) -> F.Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ", "), F.lit("]"))
+
+
+def browse(requests: DataFrame, subs: DataFrame, rows: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+    """req_id and answer for requests (req_id, stream, chapter, article, part): an article's outline, all of it or one
+    part (by number, 1 to 10); else a chapter's articles; else all chapters. A part without an article doesn't count.
+    What isn't there is an error that names what is."""
+    of = chapters(rows, p)
+    subs = subs.where("chapter is not null")
+    number = F.create_map(*(F.lit(x) for k, v in ROMAN.items() for x in (v, k)))
+    arts = subs.groupBy("stream").agg(_listed("article").alias("articles"))
+    chaps = of.groupBy("stream").agg(_listed("chapter").alias("all_chapters"), F.concat(t.ordered_join(F.col("chapter"), F.col("listing"), "\n\n"), F.lit("\n")).alias("everything"))
+    parts = subs.groupBy("stream", "article").agg(_listed(number[F.col("part")]).alias("parts"))
+    roman = F.create_map(*(F.lit(x) for k, v in ROMAN.items() for x in (k, v)))
+    r = requests.withColumn("roman", F.when(F.col("article").isNotNull(), roman[F.col("part").cast("int")])).withColumnRenamed("part", "asked")
+    r = r.join(arts, "stream", "left").join(chaps, "stream", "left").join(parts, ["stream", "article"], "left").join(of, ["stream", "chapter"], "left")
+    r = r.join(outline(subs, rows).withColumnRenamed("outline", "whole"), ["stream", "article"], "left")
+    one = outline(subs, rows, by_part=True).select("stream", "article", F.col("part").alias("roman"), F.col("outline").alias("some"))
+    r = r.join(one, ["stream", "article", "roman"], "left")
+    text = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    a, c, k = F.col("article"), F.col("chapter"), F.col("asked")
+    answer = (
+        F.when(a.isNotNull() & F.col("whole").isNull(), text("Error: Article ", a, " not found. Valid articles: ", F.col("articles")))
+        .when(a.isNotNull() & k.isNotNull(), F.coalesce("some", text("Error: Part ", k, " not found in Article ", a, ". Valid parts: ", F.col("parts"))))
+        .when(a.isNotNull(), F.col("whole")).when(c.isNotNull(), F.coalesce("listing", text("Error: Chapter ", c, " not found. Valid chapters: ", F.col("all_chapters"))))
+        .otherwise(F.col("everything"))
+    )
+    return r.select("req_id", answer.alias("answer"))
 
 
 def chapters(rows: DataFrame, p: Profile = DEFAULT) -> DataFrame:
@@ -104,3 +174,11 @@ def register(spark: SparkSession, rows: DataFrame, p: Profile = DEFAULT) -> None
     rows.where("kind = 'article'").select("stream", "article", "article_title").distinct().createOrReplaceTempView("lodestone_articles")
     case = " ".join(f"WHEN article BETWEEN {a} AND {b} THEN {n}L" for n, _, a, b in p.chapters)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION chapter_of(article BIGINT) RETURNS TABLE (chapter BIGINT) RETURN SELECT CASE {case} END")
+
+
+def register_lookup(spark: SparkSession, sections: DataFrame, tables: DataFrame) -> None:
+    """For SQL: the table functions section_text(id) and table_text(id), which give no row for an unknown id."""
+    sections.createOrReplaceTempView("lodestone_sections")
+    tables.createOrReplaceTempView("lodestone_tables")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION section_text(id STRING) RETURNS TABLE (article BIGINT, page INT, body STRING) RETURN SELECT article, page, text FROM lodestone_sections WHERE section = trim(section_text.id)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION table_text(id STRING) RETURNS TABLE (body STRING) RETURN SELECT markdown FROM lodestone_tables WHERE table_id = concat('Table', replace(regexp_replace(trim(table_text.id), '(?i)^table\\\\s*', ''), ' ', ''))")

@@ -78,3 +78,28 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> Da
     rows = one.unionByName(two, allowMissingColumns=True)
     w = W.partitionBy(by).orderBy(at, "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(*left.columns, F.col("__last").alias(f"last_{value}"))
+
+
+ROLES = {"user": "human", "assistant": "ai"}
+
+
+def serialized(role: Column, content: Column, calls: Column | None = None, call_id: Column | None = None, name: Column | None = None) -> Column:
+    """A message as JSON: role and content; of an answer the tool calls (array of name, args, id) if it has any; of a
+    tool's message the call that it answers, and the tool's name."""
+    kind = role
+    for k, v in ROLES.items():
+        kind = F.when(role == k, v).otherwise(kind)
+    fields = [kind.alias("role"), F.coalesce(content, F.lit("")).alias("content")]
+    if calls is not None:
+        fields.append(F.when((role == "assistant") & (F.size(calls) > 0), calls).alias("tool_calls"))
+    if call_id is not None:
+        fields.append(F.when(role == "tool", call_id).alias("tool_call_id"))
+    if name is not None:
+        fields.append(F.when(role == "tool", name).alias("name"))
+    return F.to_json(F.struct(*fields))
+
+
+def name_uuid(name: Column) -> Column:
+    """A name's own identifier, in the form of a UUID."""
+    h = F.md5(name)
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))

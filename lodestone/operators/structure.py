@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as t
 from lodestone.functions.profile import DEFAULT, Profile
 from lodestone.operators import tables
+from lodestone.sources.shared import stored
 
 SPLIT_AT = 3000
 
@@ -105,6 +106,44 @@ def tree(subs: DataFrame) -> DataFrame:
     return art.groupBy("stream", "chapter").agg(F.array_sort(F.collect_list(F.struct("article", "subsections"))).alias("articles"))
 
 
+def part_tree(rows: DataFrame, subs: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+    """stream, chapter, article and its parts in order, each with num, title, subsections and refs (nested). Every Part
+    header makes a part, with all subsections under its number; subsections before the first one stand in a part without
+    number in front, and an article without headers has that one only."""
+    arts = rows.where("kind = 'article'").select("stream", "article").distinct().withColumn("chapter", t.chapter_of(F.col("article"), p)).where("chapter is not null")
+    head = parts(rows).select("stream", "article", F.col("part").alias("num"), F.col("part_title").alias("title"), "ord")
+    bare = arts.join(head, ["stream", "article"], "left_anti").select("stream", "article")
+    lead = subs.where("part is null").select("stream", "article").union(bare).distinct()
+    lead = lead.select("stream", "article", F.lit(None).cast("string").alias("num"), F.lit(None).cast("string").alias("title"), F.lit(-1).cast("bigint").alias("ord"))
+    held = subs.groupBy("stream", "article", F.coalesce("part", F.lit("")).alias("key")).agg(
+        F.array_sort(F.collect_list(F.struct("ord", F.col("section").alias("id"), F.col("title").alias("name"), "page"))).alias("subsections"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs")
+    )
+    none = F.array()
+    one = head.unionByName(lead).withColumn("key", F.coalesce("num", F.lit(""))).join(held, ["stream", "article", "key"], "left")
+    one = one.withColumns({"subsections": F.coalesce("subsections", none.cast(held.schema["subsections"].dataType)), "refs": F.coalesce("refs", none.cast("array<string>"))})
+    nested = one.groupBy("stream", "article").agg(F.array_sort(F.collect_list(F.struct("ord", "num", "title", "subsections", "refs"))).alias("parts"))
+    return arts.join(nested, ["stream", "article"]).select("stream", "chapter", "article", "parts")
+
+
+def bounds(rows: DataFrame, subs: DataFrame, made: DataFrame, expected: dict[str, tuple[int, int | None]]) -> DataFrame:
+    """name, value, low, high and ok of checks on the whole corpus: how many chapters, articles, definitions, tables and
+    subsections there are, and how many subsections or tables lack what each must have. expected: name -> low, high."""
+    a = rows.where("kind = 'article'").agg(F.countDistinct(t.chapter_of(F.col("article"))).alias("chapters"), F.countDistinct("article").alias("articles"))
+    d = definitions(rows).agg(F.count("*").alias("definitions"))
+    k = made.agg(F.count("*").alias("tables"), F.count_if(F.col("structure.id").isNull() | F.col("structure.title").isNull() | F.col("structure.column_headers").isNull()).alias("bad_tables"))
+    s = subs.agg(F.count("*").alias("subsections"), F.count_if(F.col("section").isNull() | F.col("title").isNull() | (F.size("paragraphs") == 0)).alias("bad_subsections"))
+    names = ("chapters", "articles", "definitions", "tables", "bad_tables", "subsections", "bad_subsections")
+    values = None
+    for df in (a, d, k, s):
+        own = [x for x in df.columns if x in names]
+        one = df.select(F.inline(F.array(*(F.struct(F.lit(x).alias("name"), F.col(x).cast("bigint").alias("value")) for x in own))))
+        values = one if values is None else values.unionAll(one)
+    low = F.create_map(*(F.lit(x) for n, (lo, _) in expected.items() for x in (n, lo)))
+    high = F.create_map(*(x for n, (_, hi) in expected.items() for x in (F.lit(n), F.lit(hi).cast("bigint"))))
+    values = values.select("name", "value", low[F.col("name")].cast("bigint").alias("low"), high[F.col("name")].alias("high")).where("low is not null")
+    return values.withColumn("ok", (F.col("value") >= F.col("low")) & (F.col("high").isNull() | (F.col("value") <= F.col("high"))))
+
+
 def tree_stats(rows: DataFrame, subs: DataFrame) -> DataFrame:
     a = rows.where("kind = 'article'").groupBy("stream").agg(F.countDistinct("article").alias("articles"))
     k = rows.groupBy("stream").agg(*(F.count_if(F.col("kind") == x).alias(f"n_{x}") for x in ("part", "table", "definition", "body")))
@@ -170,3 +209,26 @@ def all_chunks(subs: DataFrame, items: DataFrame, made: DataFrame) -> DataFrame:
 def chunk_stats(c: DataFrame) -> DataFrame:
     n = F.length("text").cast("bigint")
     return c.groupBy("chunk_type").agg(F.count("*").alias("n"), F.sum(n).alias("total"), F.floor(F.sum(n) / F.count("*")).cast("bigint").alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"))
+
+
+def chunk_sizes(c: DataFrame, share: float = 0.95, large: int = 5000) -> DataFrame:
+    """chunk_type, the length that ``share`` of the chunks don't pass (an exact one), and how many are over ``large``."""
+    n = F.length("text").cast("bigint")
+    rows = c.select("chunk_type", n.alias("n"))
+    by = rows.groupBy("chunk_type", "n").agg(F.count("*").alias("k"))  # lengths are few, whatever the number of chunks
+    upto = by.withColumn("upto", F.sum("k").over(W.partitionBy("chunk_type").orderBy("n"))).withColumn("all", F.sum("k").over(W.partitionBy("chunk_type")))
+    return upto.groupBy("chunk_type").agg(F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("n"))).alias("p95"), F.sum(F.when(F.col("n") > large, F.col("k")).otherwise(0)).alias("over"))
+
+
+def id_check(c: DataFrame) -> DataFrame:
+    """stream, its chunks, their distinct ids, and whether there are as many."""
+    n, ids = F.count("*"), F.countDistinct("chunk_id")
+    return c.groupBy("stream").agg(n.alias("chunks"), ids.alias("ids"), (n == ids).alias("fits"))
+
+
+def with_unique_ids(c: DataFrame) -> DataFrame:
+    """c, stored; an error if two chunks of a stream share an id, since a collection takes an id once."""
+    c = stored(c)
+    if bad := id_check(c).where("not fits").limit(5).collect():
+        raise ValueError(f"chunk ids aren't unique in streams {', '.join(str(r.stream) for r in bad)}")
+    return c

@@ -317,3 +317,25 @@ def flattened(types: DataFrame) -> DataFrame:
     """One row for each size of each entry of each type (trade_name, type_letter, insulation, entries)."""
     e = types.select("trade_name", "type_letter", "insulation", F.explode("entries").alias("e"))
     return e.select("trade_name", "type_letter", "insulation", "e.temp", "e.application", "e.covering", F.explode("e.triplets").alias("s")).select("*", "s.awg", "s.mm", "s.mils").drop("s")
+
+
+def updated(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache (table_id, structure) with fresh rows in place of those of the same id; what has ragged rows isn't taken."""
+    good = fresh.where(F.col("structure").isNotNull() & widths_ok(F.col("structure"))).select("table_id", "structure")
+    return cache.select("table_id", "structure").join(good, "table_id", "left_anti").unionByName(good)
+
+
+def after_corrections(tables: DataFrame, corrections: DataFrame, rebuild: Column) -> DataFrame:
+    """The cache behind corrected(): validated override data, or what ``rebuild`` (a column over fragments) makes of two
+    fragments or more; where neither gives a table of even rows, and for what is kept, skipped, invalid or unknown, the
+    structure that was there."""
+    asked = corrected(tables, corrections)
+    fresh = asked.withColumn("structure", F.when(F.col("action") == "override", F.col("structure")).when((F.col("action") == "rebuild") & (F.size("fragments") >= 2), rebuild))
+    old = tables.groupBy("table_id").agg(F.min_by("structure", F.struct("stream", "start")).alias("structure"))
+    return updated(old, fresh.select("table_id", "structure"))
+
+
+def grid_counts(output: DataFrame) -> DataFrame:
+    """How many tables of output (table_id, content) are a grid, and how many a block of text."""
+    grid = F.col("content").contains("|")
+    return output.agg(F.count_if(grid).alias("grids"), F.count_if(~grid).alias("blocks"))

@@ -62,3 +62,24 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp '1998-09-02'")
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query("segment_cube", "SELECT c_mktsegment, n_regionkey, count(*) AS customers, CAST(grouping(c_mktsegment, n_regionkey) AS BIGINT) AS level FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (c_mktsegment, n_regionkey)")
+def segment_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    return c.join(n, c.c_nationkey == n.n_nationkey).cube("c_mktsegment", "n_regionkey").agg(F.count("*").alias("customers"), F.grouping_id().cast("bigint").alias("level"))
+
+
+SETS = "GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())"
+
+
+@query("grouping_sets", f"SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_quantity) AS most FROM lineitem GROUP BY {SETS}")
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("l_returnflag"), F.col("l_linestatus")
+    return read(spark, sf_dir, "lineitem").groupingSets([[a, b], [b], []], a, b).agg(F.count("*").alias("n"), F.max("l_quantity").alias("most"))
+
+
+@query("orders_without_returns", "SELECT o_orderkey, o_custkey FROM orders ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey")
+def orders_without_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, back = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    return orders.join(back, orders.o_orderkey == back.l_orderkey, "left_anti").select("o_orderkey", "o_custkey")

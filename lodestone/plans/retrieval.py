@@ -105,6 +105,26 @@ def rerank_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.change_summary(_before_after(spark, sf_dir))
 
 
+SHOWN = "CASE WHEN skipped THEN 'n/a' ELSE coalesce('#' || {}, 'MISS') END"
+STEP = "CASE WHEN skipped THEN 'n/a' WHEN first_rank > after_rank THEN '+' || (first_rank - after_rank) WHEN first_rank < after_rank THEN '' || (first_rank - after_rank) WHEN first_rank = after_rank THEN '=' WHEN after_rank IS NOT NULL THEN 'NEW' WHEN first_rank IS NOT NULL THEN 'LOST' ELSE '-' END"
+
+
+def _pairs(judged: DataFrame) -> DataFrame:
+    hit = lambda x: F.min(F.when(F.col("match"), F.col(x)))
+    return judged.groupBy("query_id").agg(F.every(F.col("match").isNull()).alias("skipped"), hit("rank").alias("before"), hit("rerank").alias("after"))
+
+
+@query("comparison_table", f"WITH {TOP}{JUDGED} SELECT query_id, {SHOWN.format('first_rank')} AS embedding, {SHOWN.format('after_rank')} AS reranked, {STEP} AS change FROM ranks")
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.comparison(_pairs(_judged(spark, sf_dir)))
+
+
+@query("comparison_detail", f"WITH {TOP}{JUDGED}, moved AS (SELECT query_id FROM ranks WHERE NOT skipped AND NOT (first_rank IS NOT DISTINCT FROM after_rank AND coalesce(first_rank <= 5, false))) SELECT query_id, 'embedding' AS ordering, rank AS place, vec_id, match AS hit FROM judged SEMI JOIN moved USING (query_id) WHERE rank <= 5 UNION ALL SELECT query_id, 'reranked', rerank, vec_id, match FROM judged SEMI JOIN moved USING (query_id) WHERE rerank <= 5")
+def comparison_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = _judged(spark, sf_dir)
+    return evaluate.comparison_detail(judged, _pairs(judged))
+
+
 # Text: every benchmark passage asks, all documents answer.
 
 

@@ -126,3 +126,28 @@ def stream_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-duplication across calls as keyed state: what a session has seen isn't returned again."""
     calls = lambda s: ev.unseen(s.select(F.col("user_id").alias("session_id"), "ts", F.col("event_type").alias("section_id"))).drop("ts")
     return _streamed(spark, sf_dir, calls, "session_id long, section_id string", "append")
+
+
+def _late(spark: SparkSession, sf_dir: str, made, schema: str) -> DataFrame:
+    """Two thirds of the events first, then the last third, most of which is late: two runs of one stream, by its checkpoint."""
+    at = folder(spark)
+    for late in (False, True):
+        part = read(spark, sf_dir, "events").where(f"(event_id % 3 = 0) = {late}")
+        part.coalesce(1).write.mode("append").parquet(f"{at}/events")
+        ev.to_table(made(ev.source(spark, f"{at}/events")), f"{at}/checkpoint", lambda rows, batch: rows.write.mode("append").parquet(f"{at}/rows")).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/rows")
+
+
+LATE = """marks AS (SELECT max(ts) FILTER (event_id % 3 <> 0) - INTERVAL 10 MINUTE AS one, max(ts) - INTERVAL 10 MINUTE AS two FROM events)"""
+
+
+@query("stream_late_windows", f"WITH {LATE} SELECT from_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS from_ts FROM events), marks WHERE (event_id % 3 <> 0 OR from_ts + INTERVAL 1 HOUR > one) AND from_ts + INTERVAL 1 HOUR <= two GROUP BY ALL")
+def stream_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: a window comes out once when the watermark has passed it, and what is later than that is left out."""
+    return _late(spark, sf_dir, ev.windowed, "from_ts timestamp, event_type string, n long, total double").withColumn("total", F.round("total", 4))
+
+
+@query("stream_sessions", SESSIONS.replace("WITH e AS", "WITH top AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), e AS") + " SELECT user_id, min(ts) AS from_ts, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT mark FROM top)")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows on a stream: those that the watermark has closed."""
+    return _streamed(spark, sf_dir, ev.sessions, "user_id long, from_ts timestamp, n long", "append")

@@ -150,12 +150,16 @@ TRUTH = [(1, ["100.1", "200."], ["Table220.55"]), (2, ["905.2"], []), (3, [], ["
 
 @query("truth_matches", o.sql("SELECT qid, chunk_id, stream FROM chunks, (VALUES (1, ['100.1', '200.'], ['Table220.55']), (2, ['905.2'], []::VARCHAR[]), (3, []::VARCHAR[], ['Table100.1(A)'])) w(qid, prefixes, ids) WHERE len(list_filter(prefixes, lambda p: starts_with(section, p))) > 0 OR list_contains(ids, section) OR list_has_any(refs, ids)", "chunks"))
 def truth_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truth(spark, sf_dir, TRUTH)
+
+
+def _truth(spark: SparkSession, sf_dir: str, truth: list[tuple], strict: bool = False) -> DataFrame:
     from lodestone.operators.evaluate import chunk_matches
 
     texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    asked = F.array(*(F.struct(F.lit(q).alias("qid"), texts(p).alias("prefixes"), texts(i).alias("ids")) for q, p, i in TRUTH))
+    asked = F.array(*(F.struct(F.lit(q).alias("qid"), texts(p).alias("prefixes"), texts(i).alias("ids")) for q, p, i in truth))
     rows = _chunks(spark, sf_dir).select("*", F.inline(asked))
-    return rows.where(chunk_matches(F.col("section_id"), F.col("refs"), F.col("prefixes"), F.col("ids"))).select("qid", "chunk_id", "stream")
+    return rows.where(chunk_matches(F.col("section_id"), F.col("refs"), F.col("prefixes"), F.col("ids"), strict)).select("qid", "chunk_id", "stream")
 
 
 # lookups
@@ -251,3 +255,90 @@ def udtf_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SQL surface: views and a table function that a query calls by name."""
     lk.register(spark, _rows(spark, sf_dir))
     return spark.sql("SELECT DISTINCT a.stream, c.chapter, a.article FROM lodestone_articles a, LATERAL chapter_of(a.article) c WHERE c.chapter = 1")
+
+
+# browsing by request, hints, checks of the whole
+
+
+BROWSED = [(1, 0, None, None, None), (2, 0, 1, None, None), (3, 0, 55, None, None), (4, 0, None, 97, None), (5, 0, None, 97, 2), (6, 0, None, 97, 11), (7, 0, None, 5, None), (8, 0, 1, 97, 1), (9, 0, None, None, 3), (10, 1, 2, None, None), (11, 1, None, 121, 1)]
+_null = lambda x: "NULL" if x is None else str(x)
+ASKED = ", ".join("(" + ", ".join(map(_null, r)) + ")" for r in BROWSED)
+ROMANS = "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in lk.ROMAN.items()) + ") r(n, roman)"
+BROWSE = f"""{OUTLINE},
+whole AS (SELECT stream, article, 'Article ' || article || ': ' || name || chr(10) || body || CASE WHEN scope IS NULL THEN '' ELSE chr(10) || chr(10) || '--- Scope ---' || chr(10) || scope END AS outline FROM bodies LEFT JOIN names USING (stream, article) LEFT JOIN scopes USING (stream, article)),
+plines AS (SELECT stream, article, part, part_ord, 1 AS k, ord, '      ' || section || ' ' || short || ' (page ' || page || ')' AS line FROM s WHERE part IS NOT NULL
+ UNION ALL SELECT stream, article, part, part_ord, 0, part_ord, '  Part ' || part || ': ' || coalesce(arg_min(part_title, ord), 'None') FROM s WHERE part IS NOT NULL GROUP BY stream, article, part, part_ord),
+pwhole AS (SELECT stream, article, part, 'Article ' || article || ': ' || name || chr(10) || body || CASE WHEN scope IS NULL THEN '' ELSE chr(10) || chr(10) || '--- Scope ---' || chr(10) || scope END AS outline FROM (SELECT stream, article, part, string_agg(line, chr(10) ORDER BY part_ord, k, ord, line) AS body FROM plines GROUP BY ALL) LEFT JOIN names USING (stream, article) LEFT JOIN scopes USING (stream, article)),
+listings AS (SELECT stream, chapter, 'Chapter ' || chapter || ': ' || {CHAPTER_NAMES} || chr(10) || string_agg('  Article ' || article || ': ' || name, chr(10) ORDER BY article) AS listing FROM (SELECT stream, article, {o.chapter('article')} AS chapter, name FROM names) WHERE chapter IS NOT NULL GROUP BY stream, chapter),
+valid AS (SELECT stream, '[' || string_agg(article, ', ' ORDER BY article) || ']' AS articles FROM (SELECT DISTINCT stream, article FROM s) GROUP BY stream),
+vparts AS (SELECT stream, article, '[' || coalesce(string_agg(n, ', ' ORDER BY n), '') || ']' AS parts FROM (SELECT DISTINCT stream, article, n FROM s LEFT JOIN {ROMANS} ON roman = part) GROUP BY ALL),
+vchapters AS (SELECT stream, '[' || string_agg(chapter, ', ' ORDER BY chapter) || ']' AS all_chapters, string_agg(listing, chr(10) || chr(10) ORDER BY chapter) || chr(10) AS everything FROM listings GROUP BY stream),
+asked(req_id, stream, chapter, article, part) AS (VALUES {ASKED})"""
+
+
+@query("browse_requests", o.sql(f"""SELECT req_id, CASE WHEN q.article IS NOT NULL AND w.outline IS NULL THEN 'Error: Article ' || q.article || ' not found. Valid articles: ' || articles
+ WHEN q.article IS NOT NULL AND q.part IS NOT NULL THEN coalesce(p.outline, 'Error: Part ' || q.part || ' not found in Article ' || q.article || '. Valid parts: ' || parts)
+ WHEN q.article IS NOT NULL THEN w.outline WHEN q.chapter IS NOT NULL THEN coalesce(listing, 'Error: Chapter ' || q.chapter || ' not found. Valid chapters: ' || all_chapters) ELSE everything END AS answer
+ FROM asked q LEFT JOIN valid v ON v.stream = q.stream LEFT JOIN vchapters c ON c.stream = q.stream LEFT JOIN vparts vp ON vp.stream = q.stream AND vp.article = q.article LEFT JOIN listings l ON l.stream = q.stream AND l.chapter = q.chapter
+ LEFT JOIN whole w ON w.stream = q.stream AND w.article = q.article LEFT JOIN {ROMANS} ON r.n = q.part LEFT JOIN pwhole p ON p.stream = q.stream AND p.article = q.article AND p.part = r.roman""", "subs", extra=BROWSE))
+def browse_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry for all of browsing: article and part, article, chapter or everything; and what isn't there."""
+    asked = spark.createDataFrame(BROWSED, "req_id int, stream long, chapter long, article long, part int")
+    rows = stored(_rows(spark, sf_dir))
+    return lk.browse(asked, stored(st.subsections(rows)), rows)
+
+
+@query("lookup_hints")
+def lookup_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """batch_lookup with similar ids for what isn't found (difflib has no SQL; tests compare it)."""
+    asked = spark.createDataFrame(REQUESTS, "req_id int, ord int, kind string, raw_id string")
+    return lk.hinted_lookup(asked, lk.section_index(_subs(spark, sf_dir)), stored(_table_texts(spark, sf_dir)))
+
+
+UNLIKE = [(1, 0, "section", "qq"), (1, 1, "section", " zz "), (2, 0, "section", "")]
+
+
+@query("lookup_unlike", "SELECT * FROM (VALUES (1, 'Error: section ''qq'' not found. Similar section IDs: (no similar IDs found)' || chr(10) || chr(10) || 'Error: section ''zz'' not found. Similar section IDs: (no similar IDs found)'), (2, 'Error: at least one id must be provided.')) v(req_id, answer)")
+def lookup_unlike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for ids that are like none."""
+    asked = spark.createDataFrame(UNLIKE, "req_id int, ord int, kind string, raw_id string")
+    return lk.hinted_lookup(asked, lk.section_index(_subs(spark, sf_dir)), spark.createDataFrame([], "table_id string, markdown string"))
+
+
+@query("sql_lookup", o.sql("SELECT v.id, s.article, s.page, s.text AS body FROM (VALUES ('90.1'), (' 97.3 '), ('121.2'), ('none')) v(id) JOIN sindex s ON s.section = trim(v.id)", "subs", extra=INDEX))
+def sql_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups by name from SQL."""
+    lk.register_lookup(spark, lk.section_index(_subs(spark, sf_dir)), spark.createDataFrame([], "table_id string, markdown string"))
+    return spark.sql("SELECT v.id, s.article, s.page, s.body FROM VALUES ('90.1'), (' 97.3 '), ('121.2'), ('none') v(id), LATERAL section_text(v.id) s")
+
+
+@query("chunk_sizes", o.sql("SELECT chunk_type, quantile_disc(length(text), 0.95) AS p95, count(*) FILTER (length(text) > 5000) AS over FROM united GROUP BY chunk_type", "passed", "chunks", extra=TAB + BOTH).replace(o.CTE["rows"], AFTER_PASS))
+def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, subs = _tabled(spark, sf_dir)
+    return st.chunk_sizes(st.all_chunks(subs, st.sub_items(subs), st.article_tables(rows)))
+
+
+@query("chunk_id_check", o.sql("SELECT stream, count(*) AS chunks, count(DISTINCT chunk_id) AS ids, count(*) = count(DISTINCT chunk_id) AS fits FROM united GROUP BY stream", "passed", "chunks", extra=TAB + BOTH).replace(o.CTE["rows"], AFTER_PASS))
+def chunk_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a collection would take each stream's chunks as they are."""
+    rows, subs = _tabled(spark, sf_dir)
+    return st.id_check(st.all_chunks(subs, st.sub_items(subs), st.article_tables(rows)))
+
+
+EXPECTED = {"chapters": (1, None), "articles": (2, 150), "definitions": (10, None), "tables": (1, 217), "subsections": (1, None), "bad_tables": (0, 0), "bad_subsections": (0, 0)}
+LIMITS = ", ".join(f"('{k}', {a}, {'NULL' if b is None else b})" for k, (a, b) in EXPECTED.items())
+
+
+@query("structure_bounds", o.sql(f"SELECT name, value, low, high, value >= low AND (high IS NULL OR value <= high) AS ok FROM counted_all JOIN (VALUES {LIMITS}) v(name, low, high) USING (name)", "passed", "subs", extra=f"""defs AS (SELECT stream, visit, sum(CASE WHEN starts_with(content, 'Informational Note') OR starts_with(content, '(') OR starts_with(content, '[') THEN 0 ELSE 1 END) OVER (PARTITION BY stream, visit ORDER BY idx) AS n FROM rows WHERE kind = 'definition'),
+counted_all AS (SELECT 'articles' AS name, count(DISTINCT article) AS value FROM rows WHERE kind = 'article' UNION ALL SELECT 'chapters', count(DISTINCT {o.chapter('article')}) FROM rows WHERE kind = 'article' UNION ALL SELECT 'definitions', count(DISTINCT (stream, visit, n)) FROM defs WHERE n > 0
+ UNION ALL SELECT 'tables', count(*) FROM rows WHERE kind = 'table' UNION ALL SELECT 'bad_tables', 0 UNION ALL SELECT 'subsections', count(*) FROM subs UNION ALL SELECT 'bad_subsections', count(*) FILTER (section IS NULL OR title IS NULL) FROM subs)""").replace(o.CTE["rows"], AFTER_PASS))
+def structure_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the parsed whole against expected bounds."""
+    rows, subs = _tabled(spark, sf_dir)
+    return st.bounds(rows, subs, st.article_tables(rows), EXPECTED)
+
+
+@query("truth_matches_strict", o.sql("SELECT qid, chunk_id, stream FROM chunks, (VALUES (1, ['90'], ['Table220.55']), (2, ['12', '97.3'], []::VARCHAR[])) w(qid, prefixes, ids) WHERE len(list_filter(prefixes, lambda p: starts_with(section, p) AND NOT regexp_matches(substr(section, length(p) + 1, 1), '[0-9]'))) > 0 OR list_contains(ids, section) OR list_has_any(refs, ids)", "chunks"))
+def truth_matches_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """truth_matches with whole numbers only."""
+    return _truth(spark, sf_dir, [(1, ["90"], ["Table220.55"]), (2, ["12", "97.3"], [])], True)
