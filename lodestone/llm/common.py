@@ -10,6 +10,8 @@ holds is one block or one range, both of bounded size at any input size.
 from __future__ import annotations
 
 import ctypes
+import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,15 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder's path in the cluster's shared checkpoint folder; tests without one get a folder of their own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-checkpoints")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")  # one machine: every task sees it
+        sc.setCheckpointDir(path)
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+#: Lets a query's shuffle files go when the query ends, instead of when the driver collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared folder and read again: the lineage ends there, and every executor sees it."""
+    """df, written as a table in the shared folder and read again: the lineage ends there, and every executor sees it.
+    What the writing shuffled is deleted behind it."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,9 +100,11 @@ def few(keys: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents, every column kept, whose row_key() isn't in rejected (at)."""
-    rejected = few(stored(rejected.select("at").distinct()))
-    return docs.join(rejected.select(F.col("at").alias("__at")), row_key() == F.col("__at"), "left_anti")
+    """The documents, every column kept, that aren't rejected (doc_id, at: the row's key). Both must agree, so a key that two
+    rows happen to share drops none by mistake."""
+    rejected = few(stored(rejected.select("doc_id", "at").distinct()))
+    rejected = rejected.select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"))
+    return docs.join(rejected, (row_key() == F.col("__at")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def trim() -> None:

@@ -31,9 +31,9 @@ def pairs(rows):
 
 
 @pytest.fixture(scope="session")
-def docs(spark, rows):
+def docs(spark, rows, tmp_path_factory):
     """The documents of the smallest scale with edge cases behind them; columns with names that operators use inside."""
-    at = "/tmp/lodestone-tests"
+    at = str(tmp_path_factory.mktemp("docs") / "t")
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, block int, at string")
     df.write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)

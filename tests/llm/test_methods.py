@@ -32,38 +32,60 @@ def test_classifier_keeps_columns(spark, docs, sf):
     assert kept.columns == docs.columns
 
 
-def plain_kneser_ney(text: bytes):
-    """log2 p of each 4-gram of one text, by recursion over the definitions."""
-    grams = {4: Counter(text[i : i + 4] for i in range(len(text) - 3))}
-    for k in (3, 2, 1):
-        grams[k] = Counter(g[1:] for g in grams[k + 1])
-    discount = {}
-    for k, n in grams.items():
-        c = Counter(n.values())
-        y = c[1] / (c[1] + 2 * c[2]) if c[1] + c[2] else 0.5
-        raw = [i - (i + 1) * y * (c[i + 1] / c[i] if c[i] else 0) if i > 1 else 1 - 2 * y * (c[2] / c[1] if c[1] else 0) for i in (1, 2, 3)]
-        discount[k] = [max(0.05 * i, min(0.95 * i, x)) for i, x in zip((1, 2, 3), raw, strict=True)]
-
-    def p(g):
-        k = len(g)
-        if not k:
-            return 1 / 256
-        after = [n for h, n in grams[k].items() if h[:-1] == g[:-1]]
-        d = discount[k]
-        rest = sum(d[min(n, 3) - 1] for n in after) / sum(after)
-        n = grams[k][g]
-        return (n - d[min(n, 3) - 1]) / sum(after) + rest * p(g[1:])
-
-    return {g: math.log2(p(g)) for g in grams[4]}
-
-
-def test_language_model(spark):
-    text = "the cat sat on the mat, the cat ate the rat; then the rat sat on a hat. " * 2 + "odd one out"
-    df = spark.createDataFrame([(text, "en"), (None, "en"), ("ab", "en")], "text string, lang string")
-    got = {int(r.gram).to_bytes(4, "big"): r.logp for r in quality_rules.probabilities(quality_rules.c.stored(quality_rules.count(df, 3))).collect()}
-    want = plain_kneser_ney(text.encode())
+def plain_surprise(docs, side):
+    """Mean bits a word of each (id, text, lang), by the definitions: the model of a language's other half, in dictionaries."""
+    grams = {}
+    for i, t, lang in docs:
+        w = brute.words(t)
+        grams.setdefault((lang, side[i]), Counter()).update(zip(w, w[1:], strict=False))
+
+    def discounts(n):
+        k = Counter(n)
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] + k[2] else 0.5
+        return [max(0.05 * i, min(0.95 * i, i - (i + 1) * y * (k[i + 1] / k[i]) if k[i] else i)) for i in (1, 2, 3)]
+
+    def bits(model, v, w):
+        behind = Counter(y for _, y in model)
+        d, e = discounts(model.values()), discounts(behind.values())
+        left = sum(e[min(n, 3) - 1] for n in behind.values()) / sum(behind.values()) if behind else 1
+        p = (behind[w] - e[min(behind[w], 3) - 1] if behind[w] else 0) / max(1, sum(behind.values())) + left / 2**quality_rules.BITS
+        after = [n for (x, _), n in model.items() if x == v]
+        rest = sum(d[min(n, 3) - 1] for n in after) / sum(after) if after else 1
+        n = model[v, w]
+        return -math.log2((n - d[min(n, 3) - 1] if n else 0) / max(1, sum(after)) + rest * p)
+
+    out = {}
+    for i, t, lang in docs:
+        w = brute.words(t)
+        model = grams.get((lang, 1 - side[i]), Counter())
+        own = [bits(model, *g) for g in zip(w, w[1:], strict=False)]
+        out[i] = sum(own) / len(own) if own else None
+    return out
+
+
+def test_language_model(spark, tmp_path):
+    """Surprise and verdicts of documents in many small chunks, against dictionaries."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"{x}{i}" for i in range(30) for x in "ab"]
+    rows = [(i, " ".join(vocabulary[k] for k in np.minimum(rng.geometric(0.08, int(rng.integers(0, 130))), 59)), (None, "en", "de")[i % 3]) for i in range(120)]
+    rows += [(200, None, "en"), (201, "", "fr"), (202, "one", "fr"), (203, "Never seen words " * 20, "fr"), (204, rows[7][1], rows[7][2])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    side = {r.doc_id: r.side for r in df.selectExpr("doc_id", "pmod(xxhash64(text), 2) AS side").collect()}
+    got = {r.doc_id: r for r in quality_rules.verdicts(df).collect()}
+    want = plain_surprise(rows, side)
     assert got.keys() == want.keys()
-    assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    for i, s in want.items():
+        assert (got[i].surprise is None) == (s is None) and abs((s or 0) - (got[i].surprise or 0)) <= 0.5 / quality_rules.STEPS, i
+    failed = {i: b for i, *_, b in brute.rules([r[:2] for r in rows])}
+    for lang in {r[2] for r in rows}:
+        own = [i for i, _, x in rows if x == lang]
+        bins = {i: math.floor(got[i].surprise / quality_rules.BIN + 0.5) for i in own if got[i].surprise is not None}
+        fine = sorted(b for i, b in bins.items() if not failed[i])
+        at = [fine[math.ceil(q * len(fine) - 1e-9) - 1] for q in (quality_rules.LOW, quality_rules.HIGH)] if fine else [0, 0]
+        for i in own:
+            assert got[i].base_failed == failed[i] and got[i].kept == (not failed[i] and (i not in bins or at[0] <= bins[i] <= at[1])), i
+    assert any(not r.kept and not r.base_failed for r in got.values())
 
 
 def scalar_adpcm(block: bytes):
@@ -219,10 +241,10 @@ def test_word_order(spark):
 
 
 def test_language_model_grows():
-    """Distinct word 3-grams aren't bounded by an alphabet."""
+    """Distinct word 2-grams aren't bounded by an alphabet."""
     texts = [" ".join(f"w{i * 7 % 1009}x{i % n}" for i in range(n)) for n in (2000, 20_000)]
-    n = [len(quality_rules._distinct(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), np.array([0]), quality_rules.WORDS)[0]) for t in texts]
-    assert n == [1998, 19_998]
+    n = [len(quality_rules.distinct(quality_rules.grams(*quality_rules.words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))[0], np.uint64(0))[0]) for t in texts]
+    assert n[0] == 1999 and n[1] >= 19_990
 
 
 def test_band_rejects(spark):
