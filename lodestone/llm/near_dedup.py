@@ -7,13 +7,12 @@ many classes share a prefix, it is the ones with longer common prefixes that sta
 partitioned with the id as last key, so any number of equal signatures spreads over tasks; pairs over a partition's
 border come from the partitions' ends.
 
-Where over NEIGHBOURS + 1 classes share the first MIN_DEPTH hashes of a tree, neighbours aren't all: there, the members
-that aren't yet in the bucket's largest component are compared with all its members, in blocks of CHUNK by CHUNK sets
-that lie in different tasks; a block gives at most one link for each component it joins, so no list of pairs is made.
-
-A pair is linked only after its two full shingle sets are compared. First the spanning forest of the candidates is
-confirmed, then every candidate between components that are still apart, so a group of n near copies costs about n
-comparisons, and no candidate that could join two components is left out.
+Where over NEIGHBOURS + 1 classes share the first MIN_DEPTH hashes of a tree, neighbours aren't all. The classes of such
+buckets that still hold several components are looked at exactly. First a prefix filter over all of them: a set goes
+under those of its rarest shingles of which two similar sets must share one, and what meets no other component under any
+leaves, so texts around one template that differ in the rest are never compared. Of what stays in a bucket, the members
+that aren't yet in its largest component are compared with all, in blocks of CHUNK by CHUNK sets that lie in different
+tasks; a block gives at most one link for each component it joins, so no list of pairs is made.
 
 Recall: a pair at similarity 0.85 shares four given hashes with probability 0.52, so all 16 trees miss it with
 probability 7e-6, before neighbours of neighbours; at 0.8, the pipeline's threshold, with 0.41 and 2e-4. The tests
@@ -163,7 +162,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([u.tobytes() for u in shingle_sets(b.column(1))], pa.binary())], ["rep", "body"])
+        sets = list(shingle_sets(b.column(1)))
+        off = np.concatenate([[0], np.cumsum([len(u) for u in sets])]).astype(np.int32)
+        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["rep", "body"])
         c.trim()
 
 
@@ -186,7 +188,7 @@ def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 8192) ->
 def _compare(t: pa.Table, threshold: int) -> pa.Table:
     """Links (a, b) between the components of a block's sets that the links before them in the block don't give already."""
     side, comp = t["side"].to_numpy(), t["comp"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in t["body"].to_pylist()]
+    sets = [np.sort(x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in t["body"]]
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     found: list[tuple[int, int]] = []
     if len(one) and len(two):
@@ -209,20 +211,42 @@ def _compare(t: pa.Table, threshold: int) -> pa.Table:
     return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
 
+def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(bucket, rep) of sets (rep, body): a set of n shingles under the n - m + 1 rarest of them that any other set has, m
+    being the least that two sets at the threshold share. Such sets have a bucket in common."""
+    n = c.stored(sets.select(F.explode("body").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = sets.select("rep", F.size("body").alias("size"), F.explode("body").alias("s")).join(c.few(n), "s")
+    one = shared.groupBy("rep").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "s"))).alias("all"))
+    most = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") / 100).cast("int") + 1  # those that only this set has come first
+    some = F.slice("all", 1, F.greatest(F.lit(0), most - (F.col("size") - F.size("all"))))
+    return one.select("rep", F.explode(some).alias("x")).select(F.col("x.s").alias("bucket"), "rep")
+
+
+def _mixed(held: DataFrame) -> DataFrame:
+    """The buckets of held (bucket, rep, comp) with more than one component: how many reps, in the largest component, and
+    which that is."""
+    by = held.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    return by.where("n > most")
+
+
 def crowded(classes: DataFrame, comps: DataFrame, bodies: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (a, b) between components (comps: rep, comp) that share a crowded bucket of a tree."""
+    """Links (a, b) between components (comps: rep, comp), found among the classes of all crowded buckets in which more
+    than one component is left."""
     seats = classes.select("rep", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("rep", F.xxhash64("tree", F.expr(f"substring(sign, tree * {4 * OWN} + 1, {4 * MIN_DEPTH})")).alias("bucket"))
     many = c.stored(seats.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("bucket"))
     held = c.stored(seats.join(c.few(many), "bucket").join(comps, "rep").select("bucket", "rep", "comp"))
-    by = held.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    held = c.stored(held.join(_mixed(held).select("bucket"), "bucket", "left_semi"))
+    sets = c.stored(bodies.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, body array<long>"))
+    under = c.stored(prefixes(sets, threshold).join(comps, "rep").select("bucket", "rep", "comp"))
+    able = under.join(_mixed(under).select("bucket"), "bucket", "left_semi").select("rep").distinct()
+    held = c.stored(held.join(able, "rep", "left_semi"))
     chunks = lambda n: F.ceil(n / CHUNK).cast("int")
-    live = c.stored(by.where("n > most").select("bucket", "major", chunks(F.col("n") - F.col("most")).alias("na"), chunks(F.col("n")).alias("nb")))
+    live = c.stored(_mixed(held).select("bucket", "major", chunks(F.col("n") - F.col("most")).alias("na"), chunks(F.col("n")).alias("nb")))
     held = c.stored(held.join(live, "bucket"))
     deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = held.where("comp <> major").select("bucket", deal(F.col("na")).alias("ca"), each("nb").alias("cb"), F.lit(0).alias("side"), "rep", "comp")
     two = held.select("bucket", each("na").alias("ca"), deal(F.col("nb")).alias("cb"), F.lit(1).alias("side"), "rep", "comp")
-    sets = c.stored(bodies.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, body binary"))
     return one.unionAll(two).join(sets, "rep").groupBy("bucket", "ca", "cb").applyInArrow(c.tidy(lambda t: _compare(t, threshold)), "a long, b long")
 
 

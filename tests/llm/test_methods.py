@@ -171,6 +171,28 @@ def test_crowded_bucket(spark):
     assert sorted(map(tuple, got)) == sorted(brute.near(rows))
 
 
+def test_template_bucket(spark):
+    """Texts that share a template and stay apart (similarity about 0.7), with some true pairs among them and texts under one
+    rare shingle that aren't similar either: no comparison of all with all, and every link."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(1500):
+        w = base + [f"x{i}_{p}" for p in range(40)]
+        rows.append((i, " ".join(w)))
+        if i % 100 == 0:
+            rows.append((5000 + i, " ".join([*w[:-3], *(f"y{i}_{p}" for p in range(3))])))
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    want = {i: (i % 5000 if i >= 5000 else i) for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in got} == want
+    some = [r for r in rows if r[0] % 5000 < 200]
+    assert all(r[3] == (want[r[0]] == r[0]) for r in brute.near(some))
+    sets = near_dedup._sets  # how many meet: only the true pairs share a rare shingle
+    df = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(sets, "rep long, body array<long>")
+    per = near_dedup.prefixes(df, 85).groupBy("bucket").count().agg({"count": "max"}).first()[0]
+    assert per <= 2
+
+
 @pytest.mark.parametrize("text", ["aaaaaaaaaaaaaaaaaaaaaaaa", "abababababab aaabaaab", "the the the", " \n\n  x", "ééé"])
 def test_merges_of_repeats(text):
     import public_tokenizers
