@@ -49,7 +49,7 @@ LOW, HIGH = 0.01, 0.95
 BIN = 0.01
 #: Bits of a word's hash, and text bytes of a chunk.
 BITS = 22
-CHUNK = 16 << 20
+CHUNK = 12 << 20
 STEPS = 8
 _BITS = np.uint64(BITS)
 _WORD = np.uint64((1 << BITS) - 1)
