@@ -7,6 +7,9 @@ other, so the order over all of them gives each the same result as encoding it a
 
 ``encode`` and ``decode`` are the operator; ``op9_bpe_round_trip`` digests both. Null and empty texts have no tokens;
 strings of special tokens inside a text become those tokens, as the library does by default.
+
+Defined cases of the query besides: equal rows have equal results, each its own; an empty table gives an empty result; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,6 +9,9 @@ passes, the template's words are counted in every block, so all at THRESHOLD or
 
 Beside the templates' labels stand those of three base phrases. Null and empty texts have no words, no label and
 score 0. Score: the largest containment found, 1 with a base phrase.
+
+Defined cases of the query besides: equal rows have equal results, each its own; an empty table gives an empty result; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

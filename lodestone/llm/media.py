@@ -3,6 +3,9 @@
 ``decode`` turns a column of WAV bytes into resampled 16-bit PCM. Malformed or null bytes give status ``bad`` and null
 PCM, an empty data chunk gives empty PCM; no row is dropped. ``op3_telephony_media`` stores each text's bytes as 8-bit
 mu-law samples, reads them back from the stored form and computes features of all three decodings.
+
+Defined cases of the query besides: equal rows have equal results, each its own; an empty table gives an empty result; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ probability 7e-6, before neighbours of neighbours; at 0.8, the pipeline's thresh
 compare with brute force.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; rows with equal doc_id are one
-document; a null doc_id belongs to the class of its text, but never names a component (a class without any id has a
+document, and equal rows stay or go together; a null doc_id belongs to the class of its text, but never names a component (a class without any id has a
 null component_id and its rows are kept); an empty table gives an empty result.
 """
 
