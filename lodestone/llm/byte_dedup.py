@@ -164,8 +164,13 @@ def _covered(t: pa.Table, heard: dict[int, np.ndarray], length: int) -> tuple[Bl
     return block, np.cumsum(gone[:-1]) > 0
 
 
-def _digest(t: pa.Table, heard: dict[int, np.ndarray], length: int) -> pa.Table:
-    block, gone = _covered(t, heard, length)
+def _edges(gone: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where maximal removed runs of a text start and end."""
+    step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    return np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()
+
+
+def _digest(t: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
     removed, spans, sums = [], [], []
     for s, e in zip(block.off.tolist(), block.off[1:].tolist(), strict=False):
         g, text = gone[s:e], block.data[s:e]
@@ -176,15 +181,53 @@ def _digest(t: pa.Table, heard: dict[int, np.ndarray], length: int) -> pa.Table:
     return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "n_bytes": np.diff(block.off), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sums, pa.string())})
 
 
-def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text)."""
+def _listed(t: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
+    owner, first, last = [], [], []
+    for d in block.docs:
+        s, e = _edges(gone[block.off[d] : block.off[d + 1]])
+        owner += [d] * len(s)
+        first += s
+        last += e
+    at = pa.array(owner, pa.int64())
+    return pa.table({"doc_id": t["doc_id"].cast(pa.int64()).take(at), "at": t["at"].take(at), "start": pa.array(first, pa.int64()), "end": pa.array(last, pa.int64())})
+
+
+def _cut(t: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
+    texts = t["text"].to_pylist()
+    for d in block.docs:
+        g = gone[block.off[d] : block.off[d + 1]]
+        if g.any():
+            texts[d] = block.data[block.off[d] : block.off[d + 1]][~g].tobytes().decode(errors="ignore")
+    t = t.drop_columns(["block"]).set_column(1, "text", pa.array(texts, pa.string()))
+    return t.set_column(0, "doc_id", t["doc_id"].cast(pa.int64()))
+
+
+def _rounds(docs: DataFrame, columns: tuple[str, ...], length: int, finish, schema: str) -> DataFrame:
+    """The three rounds; finish(a block's rows, its Block, which bytes go) makes the rows of ``schema``."""
     n = c.count_blocks(docs)
-    docs = c.in_blocks(docs, n)
+    docs = c.in_blocks(docs, n, *columns)
     one = c.census(docs, n, 1, _anchors(length), _tally)
     two = c.census(docs, n, 2, _pieces(length), _tally, one)
     three = c.census(docs, n, 3, _windows(length), _tally, one.unionAll(two))
     told = one.unionAll(two).unionAll(three)
-    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(c.tidy(lambda t, a: _digest(t, c.answers(a), length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(c.tidy(lambda t, a: finish(t, *_covered(t, c.answers(a), length))), schema)
+
+
+def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text)."""
+    return _rounds(docs, (), length, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, at (the row's key, for ids that repeat), start and end (in bytes of the text) of every maximal removed run."""
+    return _rounds(docs.select("doc_id", "text", c.row_key().alias("at")), ("at",), length, _listed, "doc_id long, at long, start long, end long")
+
+
+def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents, every column kept, without the repeated bytes; what a cut leaves of a character goes with it.
+    Documents that lose nothing stay as they are, null texts too; those that lose all have an empty text."""
+    plain, inner, schema = c.carried(docs)
+    return c.renamed(_rounds(plain, tuple(inner), length, _cut, schema), docs)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

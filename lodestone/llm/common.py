@@ -84,6 +84,22 @@ def in_blocks(docs: DataFrame, n: int, *columns: str) -> DataFrame:
     return docs.select("doc_id", "text", *columns, F.pmod(row_key(), F.lit(n)).cast("int").alias("block"))
 
 
+def carried(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """doc_id, text and all other columns under names that clash with nothing; these names; and the schema as text."""
+    others = [x for x in docs.columns if x not in ("doc_id", "text")]
+    inner = [f"c{i}" for i in range(len(others))]
+    types = dict(docs.dtypes)
+    plain = docs.select("doc_id", "text", *(docs[f"`{x}`"].alias(y) for x, y in zip(others, inner, strict=True)))
+    return plain, inner, ", ".join(["doc_id long", "text string", *(f"{y} {types[x]}" for x, y in zip(others, inner, strict=True))])
+
+
+def renamed(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of carried(docs) with the columns of docs, in their order."""
+    others = [x for x in docs.columns if x not in ("doc_id", "text")]
+    named = {"doc_id": "doc_id", "text": "text"} | {x: f"c{i}" for i, x in enumerate(others)}
+    return out.select(*(out[named[x]].alias(x) for x in docs.columns))
+
+
 def row_key() -> F.Column:
     """Names a row by its id and text, also where ids repeat or are null."""
     return F.xxhash64("doc_id", "text")

@@ -131,9 +131,7 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, every column kept, with repeated words cut from ``text``. White space before a kept word stays;
     documents that lose nothing stay as they are, and those that lose all words have an empty text."""
-    others = [x for x in docs.columns if x not in ("doc_id", "text")]
-    inner = {x: f"c{i}" for i, x in enumerate(others)}
-    plain = docs.select("doc_id", "text", *(docs[f"`{x}`"].alias(y) for x, y in inner.items()))
+    plain, inner, schema = c.carried(docs)
 
     def cut(t: pa.Table, gone: np.ndarray, first: np.ndarray) -> pa.Table:
         data, off = c.utf8(t["text"])
@@ -149,11 +147,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         t = t.drop_columns(["block"]).set_column(1, "text", pa.array(texts, pa.string()))
         return t.set_column(0, "doc_id", t["doc_id"].cast(pa.int64()))
 
-    schema = ", ".join(["doc_id long", "text string", *(f"{y} {dict(docs.dtypes)[x]}" for x, y in inner.items())])
-    out = spans(plain, tuple(inner.values()), window, cut, schema)
-    back = {y: x for x, y in inner.items()}
-    named = out.select(*(out[x].alias(back.get(x, x)) for x in out.columns))
-    return named.select(*(f"`{x}`" for x in docs.columns))
+    return c.renamed(spans(plain, tuple(inner), window, cut, schema), docs)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,30 @@ def test_byte_dedup(docs, pairs):
     assert got(byte_dedup.digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.byte_dedup(some))
 
 
+def test_byte_spans_and_removal(docs):
+    out, spans = byte_dedup.remove(docs), byte_dedup.spans(docs).collect()
+    assert out.columns == docs.columns
+    digests = byte_dedup.digest(docs).collect()
+    assert {(r.doc_id, r.n_removed) for r in digests if r.n_removed} == {(i, n) for i, _, n in sums(spans)}
+    assert sum(r.n_spans for r in digests) == len(spans) and all(r.end - r.start >= 400 for r in spans)
+    kept, whole = {r.doc_id: r.kept_sha256 for r in digests}, {r.doc_id: r.text for r in docs.collect()}
+    cut = {r.doc_id for r in spans}
+    for r in out.collect():
+        if r.doc_id not in cut:
+            assert r.text == whole[r.doc_id]
+        elif (whole[r.doc_id] or "").isascii():
+            assert brute.sha(r.text) == kept[r.doc_id]
+    assert {900_006, 900_007, 900_010} <= cut and 900_004 not in cut
+
+
+def sums(spans):
+    """(doc_id, at, removed bytes) of the rows that lose some."""
+    total = {}
+    for r in spans:
+        total[r.doc_id, r.at] = total.get((r.doc_id, r.at), 0) + r.end - r.start
+    return [(*k, n) for k, n in total.items()]
+
+
 def test_media(docs, pairs):
     df = docs.mapInArrow(lambda it: media._digest(b.select([0, 1]) for b in it), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_samples long")
     assert got(df, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want(brute.media(pairs))
@@ -87,5 +111,5 @@ def test_encode_decode(docs, pairs):
 
 
 def test_empty_tables(none):
-    for f in (substring_dedup.digest, substring_dedup.remove, byte_dedup.digest, license_scan.scan, quality_rules.verdicts, quality_rules.keep, near_dedup.components, near_dedup.keep, lambda d: bpe.digest(d, public_tokenizers.path("byte_bpe_50k.json")), lambda d: token_count.counts(d, public_tokenizers.path("word_bpe_49k.json"))):
+    for f in (substring_dedup.digest, substring_dedup.remove, byte_dedup.digest, byte_dedup.spans, byte_dedup.remove, license_scan.scan, quality_rules.verdicts, quality_rules.keep, near_dedup.components, near_dedup.keep, lambda d: bpe.digest(d, public_tokenizers.path("byte_bpe_50k.json")), lambda d: token_count.counts(d, public_tokenizers.path("word_bpe_49k.json"))):
         assert f(none).agg(F.count("*")).first()[0] == 0
