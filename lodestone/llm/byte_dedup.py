@@ -17,10 +17,12 @@ hashes of which only those around shared anchors are ever compared.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import common as c
 
@@ -230,5 +232,86 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return c.renamed(_rounds(plain, tuple(inner), length, _cut, schema), docs)
 
 
+def _bodies(t: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
+    rows = _listed(t, block, gone)
+    first = {(i, a): k for k, (i, a) in enumerate(zip(t["doc_id"].to_pylist(), t["at"].to_pylist(), strict=True))}
+    body, left = [], []
+    for r in rows.to_pylist():
+        o = int(block.off[first[r["doc_id"], r["at"]]])
+        body.append(block.data[o + r["start"] : o + r["end"]].tobytes())
+        left.append(int(block.data[o + r["start"] - 1]) if r["start"] else -1)
+    names = [hashlib.blake2b(x, digest_size=16).digest() for x in body]
+    return rows.drop_columns(["end"]).append_column("name", pa.array(names, pa.binary())).append_column("left", pa.array(left, pa.int32())).append_column("body", pa.array(body, pa.binary()))
+
+
+def _starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Of every window of the bodies: its start, its hash, and the byte before it (-1: before the first one there are several, or none)."""
+    for b in batches:
+        for name, left, body in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            data = np.frombuffer(body, np.uint8)
+            at = np.arange(len(data) - length + 1)
+            h = c.stretch(c.prefix(c.BYTE_CODE[data]), at, at + length)
+            before = np.concatenate([[left], data[: len(at) - 1]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(before)], ["name", "p", "hash", "before"])
+        c.trim()
+
+
+def shared_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a[:n], np.uint8) != np.frombuffer(b[:n], np.uint8))
+    return int(differ[0]) if len(differ) else n
+
+
+def maximal(suffixes: list[bytes], before: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """(common prefix, first, last) of the intervals of sorted suffixes that share at least ``length`` bytes and are preceded
+    by different ones. The stack holds the open intervals: prefix, first suffix, smallest and largest byte before."""
+    wide = lambda x: (-1, 256) if x < 0 else (x, x)
+    stack = [[0, 0, 256, -1]]
+    for i in range(1, len(suffixes) + 1):
+        lcp = shared_prefix(suffixes[i - 1], suffixes[i]) if i < len(suffixes) else 0
+        start, (low, high) = i - 1, wide(before[i - 1])
+        while stack[-1][0] > lcp:
+            depth, start, a, b = stack.pop()
+            low, high = min(low, a), max(high, b)
+            if depth >= length and low < high:
+                yield depth, start, i - 1
+        if stack[-1][0] < lcp:
+            stack.append([lcp, start, low, high])
+        else:
+            stack[-1][2:] = min(low, stack[-1][2]), max(high, stack[-1][3])
+
+
+def _tree(t: pa.Table, length: int) -> pa.Table:
+    rows = []
+    for name, n, places, body in zip(*(t[k].to_pylist() for k in ("name", "n", "places", "body")), strict=True):
+        for x in places:
+            rows += [(body[x["p"] :], name, x["p"], x["before"])] * min(n, 2)
+    rows.sort(key=lambda r: r[:3])
+    out = []
+    for depth, first, last in maximal([r[0] for r in rows], [r[3] for r in rows], length):
+        key = hashlib.blake2b(rows[first][0][:depth], digest_size=16).hexdigest()
+        out += [(key, depth, name, p) for name, p in sorted({r[1:3] for r in rows[first : last + 1]})]
+    return pa.table({k: pa.array([r[i] for r in out], kind) for i, (k, kind) in enumerate((("repeat", pa.string()), ("length", pa.int64()), ("name", pa.binary()), ("p", pa.int32())))})
+
+
+def groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Maximal repeats of at least ``length`` bytes with all their occurrences: repeat (names its bytes), length, doc_id, at (the
+    row's key) and start. A repeat is maximal if no byte before or behind it is the same at all its places; places overlap.
+
+    Every such repeat lies inside removed runs. Equal runs are one body, however many documents hold it; suffixes of bodies
+    that start with the same window, if different bytes stand before it, are sorted, and their common prefixes scanned with
+    a stack: each interval of the tree is a repeat if what precedes it differs. One task holds the *different* bodies with a
+    window, so a passage is there once for each way it goes on inside removed text, not once for each document; where
+    these ways grow with the corpus, so does that task, and a long text of one period costs the square of its length.
+    No registered query runs this."""
+    runs = c.stored(_rounds(docs.select("doc_id", "text", c.row_key().alias("at")), ("at",), length, _bodies, "doc_id long, at long, start long, name binary, left int, body binary"))
+    bodies = c.stored(runs.groupBy("name").agg(F.count("*").alias("n"), F.min("left").alias("left"), F.first("body").alias("body")))
+    places = bodies.select("name", F.when(F.col("n") > 1, -1).otherwise(F.col("left")).alias("left"), "body").mapInArrow(lambda it: _starts(it, length), "name binary, p int, hash long, before int")
+    differ = places.groupBy("hash").agg(F.min("before").alias("low"), F.max("before").alias("high")).where("low < high or low < 0").select("hash")
+    found = places.join(differ, "hash", "left_semi").groupBy("hash", "name").agg(F.collect_list(F.struct("p", "before")).alias("places"))
+    trees = found.join(bodies.select("name", "n", "body"), "name").groupBy("hash").applyInArrow(c.tidy(lambda t: _tree(t, length)), "repeat string, length long, name binary, p int")
+    return trees.join(runs.select("name", "doc_id", "at", "start"), "name").select("repeat", "length", "doc_id", "at", (F.col("start") + F.col("p")).alias("start"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(c.table(spark, sf_dir, "documents"))

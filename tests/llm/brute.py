@@ -130,3 +130,22 @@ def near(docs):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return [(i, len(s), find(i), find(i) == i) for i, s in sets.items()]
+
+
+def maximal_repeats(texts, length):
+    """(doc, start, length) of all places of all strings that repeat and can be extended on neither side."""
+    at = {}
+    for d, t in texts.items():
+        for i in range(len(t) - length + 1):
+            at.setdefault(t[i : i + length], []).append((d, i))
+    found = set()
+    for places in at.values():
+        for k, (d, i) in enumerate(places):
+            for e, j in places[k + 1 :]:
+                if i and j and texts[d][i - 1] == texts[e][j - 1]:
+                    continue
+                n = length
+                while i + n < len(texts[d]) and j + n < len(texts[e]) and texts[d][i + n] == texts[e][j + n]:
+                    n += 1
+                found.add(texts[d][i : i + n])
+    return {(d, i, len(x)) for x in found for d, t in texts.items() for i in range(len(t) - len(x) + 1) if t.startswith(x, i)}

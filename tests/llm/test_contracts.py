@@ -1,6 +1,7 @@
 """The digests of every operator against brute force, on documents with nulls, empty and long texts, ties, copies."""
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,18 @@ def test_byte_spans_and_removal(docs):
     assert {900_006, 900_007, 900_010} <= cut and 900_004 not in cut
 
 
+def test_maximal_repeats(spark):
+    rng = np.random.default_rng(5)
+    make = lambda n: bytes(rng.integers(97, 101, n).tolist()).decode()
+    one, two = make(300), make(180)
+    texts = {1: one + make(50) + two, 2: make(20) + one[:200] + two[:150], 3: one, 4: one, 5: make(30) + two + one[100:] + make(9), 6: "abcd" * 60, 7: make(99), 8: "", 9: one[50:280] + one[50:280], 10: two + "z"}
+    df = spark.createDataFrame([*texts.items(), (11, None)], "doc_id long, text string")
+    rows = byte_dedup.groups(df, 100).collect()
+    want = brute.maximal_repeats({k: v.encode() for k, v in texts.items()}, 100)
+    assert {(r.doc_id, r.start, r.length) for r in rows} == want and len(rows) == len(want) > 20
+    assert all(len({texts[r.doc_id][r.start : r.start + r.length] for r in rows if r.repeat == x}) == 1 for x in {r.repeat for r in rows})
+
+
 def sums(spans):
     """(doc_id, at, removed bytes) of the rows that lose some."""
     total = {}
@@ -111,5 +124,5 @@ def test_encode_decode(docs, pairs):
 
 
 def test_empty_tables(none):
-    for f in (substring_dedup.digest, substring_dedup.remove, byte_dedup.digest, byte_dedup.spans, byte_dedup.remove, license_scan.scan, quality_rules.verdicts, quality_rules.keep, near_dedup.components, near_dedup.keep, lambda d: bpe.digest(d, public_tokenizers.path("byte_bpe_50k.json")), lambda d: token_count.counts(d, public_tokenizers.path("word_bpe_49k.json"))):
+    for f in (substring_dedup.digest, substring_dedup.remove, byte_dedup.digest, byte_dedup.spans, byte_dedup.remove, byte_dedup.groups, license_scan.scan, quality_rules.verdicts, quality_rules.keep, near_dedup.components, near_dedup.keep, lambda d: bpe.digest(d, public_tokenizers.path("byte_bpe_50k.json")), lambda d: token_count.counts(d, public_tokenizers.path("word_bpe_49k.json"))):
         assert f(none).agg(F.count("*")).first()[0] == 0
