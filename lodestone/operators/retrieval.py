@@ -40,28 +40,44 @@ def _united(queries: DataFrame, most: int, one: Callable[[list], DataFrame], sch
 
 
 class Best:
-    """The k smallest by (value, id) of each of n queries, over all that has been added."""
+    """The k smallest by (value, id) of each of n queries, over all that has been added. One step looks at no more than
+    ROWS queries and COLUMNS ids, so what it needs besides the k held doesn't grow with the number of queries."""
+
+    ROWS, COLUMNS = 256, 1024
 
     def __init__(self, n: int, k: int):
         self.k = k
         self.worst, self.last = np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)
-        self.held = [np.zeros(0, x) for x in (np.int64, float, np.int64, np.int64)]
-
-    def add(self, value: np.ndarray, ids: np.ndarray, more: np.ndarray) -> None:
-        """value: a row for each query, a column for each id; ``more`` goes along with the id."""
-        w = self.worst[:, None]
-        q, j = np.nonzero((value < w) | ((value == w) & (ids[None, :] < self.last[:, None]) & np.isfinite(value)))
+        self.parts = [[np.zeros(0, x) for x in (np.int64, float, np.int64, np.int64)] for _ in range(0, max(n, 1), self.ROWS)]
+
+    @property
+    def held(self) -> list[np.ndarray]:
+        """Query, value, id and more, in order."""
+        return [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+
+    def add(self, value: np.ndarray, ids: np.ndarray, more: np.ndarray, at: int = 0) -> None:
+        """value: a row for each query from the one numbered ``at`` (a multiple of ROWS), a column for each id; ``more``
+        goes along with the id."""
+        for a in range(0, len(value), self.ROWS):
+            for j in range(0, len(ids), self.COLUMNS):
+                self._step(at + a, value[a : a + self.ROWS, j : j + self.COLUMNS], ids[j : j + self.COLUMNS], more[j : j + self.COLUMNS])
+
+    def _step(self, at: int, value: np.ndarray, ids: np.ndarray, more: np.ndarray) -> None:
+        worst, last = self.worst[at : at + len(value)], self.last[at : at + len(value)]
+        w = worst[:, None]
+        q, j = np.nonzero((value < w) | ((value == w) & (ids[None, :] < last[:, None]) & np.isfinite(value)))
         if not len(q):
             return
-        q, v, i, m = (np.concatenate(x) for x in zip(self.held, (q, value[q, j], ids[j], more[j]), strict=True))
+        part = at // self.ROWS
+        q, v, i, m = (np.concatenate(x) for x in zip(self.parts[part], (at + q, value[q, j], ids[j], more[j]), strict=True))
         order = np.lexsort((i, v, q))
         q, v, i, m = q[order], v[order], i[order], m[order]
-        first = np.searchsorted(q, np.arange(len(self.worst) + 1))
-        place = np.arange(len(q)) - first[q]
+        first = np.searchsorted(q, at + np.arange(len(worst) + 1))
+        place = np.arange(len(q)) - first[q - at]
         full = np.flatnonzero(np.diff(first) >= self.k)
-        at = first[full] + self.k - 1
-        self.worst[full], self.last[full] = v[at], i[at]
-        self.held = [x[place < self.k] for x in (q, v, i, m)]
+        end = first[full] + self.k - 1
+        worst[full], last[full] = v[end], i[end]
+        self.parts[part] = [x[place < self.k] for x in (q, v, i, m)]
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
@@ -76,12 +92,14 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Best(len(ids), k)
-            for b in batches:
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                vec = b.column(0).to_numpy()
-                for i in range(0, b.num_rows, 1024):
-                    best.add(np.round(1 - unit @ v[i : i + 1024].T, 9) + 0.0, vec[i : i + 1024], vec[i : i + 1024])
+            for whole in batches:
+                for i in range(0, whole.num_rows, best.COLUMNS):
+                    b = whole.slice(i, best.COLUMNS)
+                    v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                    vec = b.column(0).to_numpy()
+                    for a in range(0, len(ids), best.ROWS):
+                        best.add(np.round(1 - unit[a : a + best.ROWS] @ v.T, 9) + 0.0, vec, vec, a)
             n, d, vec, _ = best.held
             yield pa.RecordBatch.from_arrays([pa.array(ids[n]), pa.array(vec), pa.array(d)], ["query_id", "vec_id", "distance"])
 
@@ -124,7 +142,7 @@ def lexical(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
         held = np.zeros((len(words), len(rows)), np.float32)
         for j, r in enumerate(rows):
             held[[number[w] for w in r.qt], j] = 1
-        step = max(1, (16 << 20) // len(words))
+        step = max(1, min((16 << 20) // len(words), (1 << 20) // len(rows)))
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top, vocabulary = Best(len(ids), k), pa.array(words)

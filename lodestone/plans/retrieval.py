@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import evaluate, retrieval
 from lodestone.plans.registry import query
 from lodestone.sources.overlay import read
+from lodestone.sources.shared import stored
 
 # Query vectors are those whose id is divisible by 50; each is compared with all vectors.
 
@@ -83,7 +84,7 @@ def rank_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("miss_details", f"WITH {TOP}{JUDGED} SELECT query_id, j.rank, j.vec_id FROM judged j JOIN ranks USING (query_id) WHERE NOT skipped AND (first_rank IS NULL OR first_rank > 1) AND j.rank <= 10")
 def miss_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of the queries whose first place is no match."""
-    return evaluate.miss_details(_judged(spark, sf_dir), 1).select("query_id", "rank", "vec_id")
+    return evaluate.miss_details(stored(_judged(spark, sf_dir)), 1).select("query_id", "rank", "vec_id")
 
 
 CHANGE = "CASE WHEN first_rank IS NULL AND after_rank IS NULL THEN 'unchanged' WHEN first_rank IS NULL THEN 'new' WHEN after_rank IS NULL THEN 'lost' WHEN after_rank < first_rank THEN 'improved' WHEN after_rank > first_rank THEN 'worsened' ELSE 'unchanged' END"
@@ -121,7 +122,7 @@ def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("comparison_detail", f"WITH {TOP}{JUDGED}, moved AS (SELECT query_id FROM ranks WHERE NOT skipped AND NOT (first_rank IS NOT DISTINCT FROM after_rank AND coalesce(first_rank <= 5, false))) SELECT query_id, 'embedding' AS ordering, rank AS place, vec_id, match AS hit FROM judged SEMI JOIN moved USING (query_id) WHERE rank <= 5 UNION ALL SELECT query_id, 'reranked', rerank, vec_id, match FROM judged SEMI JOIN moved USING (query_id) WHERE rerank <= 5")
 def comparison_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = _judged(spark, sf_dir)
+    judged = stored(_judged(spark, sf_dir))
     return evaluate.comparison_detail(judged, _pairs(judged))
 
 
