@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as t
 from lodestone.operators import tables as tb
 from lodestone.plans import oracle as o
 from lodestone.plans.registry import query
@@ -49,7 +50,7 @@ def leading_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_fragments", o.sql("SELECT stream, start, table_id, array_to_string(fragments, '|') AS fragments, CAST(len(fragments) AS BIGINT) AS n FROM fragments", "fragments"))
 def table_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = tb.table_fragments(*_regions(spark, sf_dir))
+    f = tb.table_fragments(paragraphs(spark, sf_dir))
     return f.select("stream", "start", "table_id", F.array_join("fragments", "|").alias("fragments"), F.size("fragments").cast("bigint").alias("n"))
 
 
@@ -67,12 +68,12 @@ def table_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired(fragments: Column) -> Column:
-    cells = F.transform(F.slice(fragments, 2, 1_000_000), lambda x: F.trim(x))
-    data = F.slice(cells, 3, 1_000_000)
-    n = F.floor(F.size(data) / 2).cast("int")
-    rows = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(data, i * 2 + 1, 2))
-    notes = F.slice(data, n * 2 + 1, 1)
-    return F.struct(F.trim(F.replace(F.element_at(fragments, 1), F.lit("*"), F.lit(""))).alias("title"), F.slice(cells, 1, 2).alias("column_headers"), rows.alias("data_rows"), notes.alias("footnotes"))
+    def table(cells: Column) -> Column:
+        n = F.floor((F.greatest(F.size(cells), F.lit(2)) - 2) / 2).cast("int")
+        rows = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(cells, i * 2 + 3, 2))
+        return F.struct(F.trim(F.replace(F.element_at(fragments, 1), F.lit("*"), F.lit(""))).alias("title"), F.slice(cells, 1, 2).alias("column_headers"), rows.alias("data_rows"), F.slice(cells, n * 2 + 3, 1).alias("footnotes"))
+
+    return t.let(F.transform(F.slice(fragments, 2, 1_000_000), lambda x: F.trim(x)), table)
 
 
 PAIRED = """cleancells AS (SELECT stream, start, table_id, trim(replace(fragments[1], '*', '')) AS title, list_transform(fragments[2:], lambda x: trim(x)) AS cells FROM fragments),
@@ -84,7 +85,7 @@ RENDERED = f"'**' || title || '**' || chr(10) || chr(10) || {ROW.format('heads')
 
 def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream, start, table_id, fragments and structure of every table, however small."""
-    f = tb.table_fragments(*_regions(spark, sf_dir))
+    f = tb.table_fragments(paragraphs(spark, sf_dir))
     return stored(f.withColumn("structure", paired(F.col("fragments"))))
 
 
@@ -117,13 +118,13 @@ def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_text_block", o.sql("SELECT stream, idx AS start, formatted FROM blocks", "passed"))
 def table_text_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tb.formatted(tb.table_fragments(*_regions(spark, sf_dir))).select("stream", "start", "formatted")
+    return tb.formatted(tb.table_fragments(paragraphs(spark, sf_dir))).select("stream", "start", "formatted")
 
 
 @query("table_width_check", o.sql("SELECT stream, start, len(cells) % 3 <> 1 AS ok FROM (SELECT stream, start, fragments[2:] AS cells FROM fragments)", "fragments"))
 def table_width_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of up to two cells under a two-column header, the last one left as it comes; a table is fine if none is short."""
-    f = tb.table_fragments(*_regions(spark, sf_dir))
+    f = tb.table_fragments(paragraphs(spark, sf_dir))
     cells = F.slice("fragments", 2, 1_000_000)
     rows = F.transform(F.when(F.size(cells) > 0, F.sequence(F.lit(0), F.size(cells) - 1, F.lit(3))).otherwise(F.array().cast("array<int>")), lambda i: F.slice(cells, i + 1, 2))
     s = F.struct(F.array(F.lit("a"), F.lit("b")).alias("column_headers"), rows.alias("data_rows"))
@@ -132,7 +133,7 @@ def table_width_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_column_candidates", o.sql("SELECT stream, start, array_to_string(list_filter(range(1, greatest(h, 1) + 1), lambda n: d % n = 0 AND h - n BETWEEN 0 AND 5 AND h >= 1), ',') AS columns FROM (SELECT stream, start, len(fragments) // 3 AS h, len(fragments) - len(fragments) // 3 AS d FROM fragments)", "fragments"))
 def table_column_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = tb.table_fragments(*_regions(spark, sf_dir))
+    f = tb.table_fragments(paragraphs(spark, sf_dir))
     h = F.floor(F.size("fragments") / 3).cast("int")
     return f.select("stream", "start", F.array_join(F.transform(tb.column_counts(h, F.size("fragments") - h), lambda x: x.cast("string")), ",").alias("columns"))
 
@@ -140,7 +141,7 @@ def table_column_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("table_reconstruct")
 def table_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every table through cache (none here), deterministic reconstruction, text block."""
-    f = tb.table_fragments(*_regions(spark, sf_dir))
+    f = tb.table_fragments(paragraphs(spark, sf_dir))
     return tb.formatted(f, None, tb.inferred(F.col("fragments"))).select("stream", "start", "table_id", "formatted")
 
 
@@ -149,7 +150,7 @@ TRIAGE = """, cached AS (SELECT table_id, CAST(max(len(data)) AS BIGINT) AS n_ro
 
 @query("table_triage", o.sql("SELECT table_id, coalesce(n_rows, -1) AS n_rows, coalesce(has_grid, false) AS has_grid, CASE WHEN n_rows BETWEEN 0 AND 1 THEN 'few_rows' WHEN NOT has_grid THEN 'no_grid' ELSE 'none' END AS problem FROM shown FULL JOIN cached USING (table_id)", "fragments", extra=PAIRED + TRIAGE))
 def table_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = tb.table_fragments(*_regions(spark, sf_dir))
+    f = tb.table_fragments(paragraphs(spark, sf_dir))
     output = f.where(F.size("fragments") < 12).select("table_id", F.when(F.size("fragments") > 8, F.array_join("fragments", " | ")).otherwise(F.array_join("fragments", "\n")).alias("content"))
     cache = f.withColumn("structure", paired(F.col("fragments")))
     cache = cache.groupBy("table_id").agg(F.max_by("structure", F.size("structure.data_rows")).alias("structure"))
