@@ -10,7 +10,6 @@ from lodestone.operators import cleaning, tables
 from lodestone.plans import oracle as o
 from lodestone.plans.registry import query
 from lodestone.sources.overlay import paragraphs
-from lodestone.sources.shared import stored
 
 NEXT = "row_number() OVER (PARTITION BY stream ORDER BY idx) - 1 AS idx"
 
@@ -93,8 +92,7 @@ def sentence_runover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned(df: DataFrame) -> DataFrame:
     """The chain in its fixed order: pages, tables, sentences, hyphens, furniture."""
-    df = stored(cleaning.content_pages(df))
-    df = stored(tables.table_pass(df))
+    df = tables.table_pass(cleaning.content_pages(df))
     df = cleaning.sentence_runover(df)
     df = cleaning.dehyphenated(df)
     return cleaning.without_furniture(df).select("stream", "idx", "content", "page")
