@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher, get_close_matches
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -64,19 +65,85 @@ def hinted_lookup(requests: DataFrame, sections: DataFrame, tables: DataFrame) -
 #: Valid ids that are compared with all missing ones in one pass; the driver holds so many at once.
 MAX_VALID = 100_000
 SIMILAR = "id string, other string, ratio double"
+#: Characters are told apart up to so many classes; missing ids whose suggestions go out together.
+CLASSES, EACH, SHORT = 64, 256, 16
+
+
+class Closest:
+    """difflib's get_close_matches for many ids against the same valid ones. Two ids can't be more alike than the characters
+    that they share, and among ids of up to SHORT characters their longest common subsequence, allow; so valid ids are
+    compared from the largest such bound down, until none can come among the n best."""
+
+    def __init__(self, valid: list[str]):
+        self.valid = sorted(valid, reverse=True)  # of equal ratios the larger id comes first
+        self.size = np.array([len(x) for x in self.valid], np.int64)
+        classes = sorted({ord(c) % CLASSES for x in self.valid for c in x})
+        self.at = {c: i for i, c in enumerate(classes)}
+        self.held = np.zeros((len(classes), len(self.valid)), np.int32)
+        for j, x in enumerate(self.valid):
+            for c in x:
+                self.held[self.at[ord(c) % CLASSES], j] += 1
+        self.codes = np.full((min(SHORT, int(self.size.max(initial=0))), len(self.valid)), -1, np.int32)
+        for j, x in enumerate(self.valid):
+            if len(x) <= SHORT:
+                self.codes[: len(x), j] = [ord(c) for c in x]
+
+    def common(self, x: str, which: np.ndarray) -> np.ndarray:
+        """The length of the longest common subsequence of x and each of ``which``, all of them short."""
+        codes = self.codes[:, which]
+        row = np.zeros((len(codes) + 1, len(which)), np.int8)
+        for c in x:
+            was, row, same = row, row.copy(), codes == ord(c)
+            for k in range(len(codes)):
+                np.maximum(np.maximum(was[k + 1], row[k]), was[k] + same[k], out=row[k + 1])
+        return row[-1]
+
+    def to(self, x: str, n: int, cutoff: float) -> list[tuple[str, float]]:
+        own: dict[int, int] = {}
+        for c in x:
+            if (k := self.at.get(ord(c) % CLASSES)) is not None:
+                own[k] = own.get(k, 0) + 1
+        shared = np.zeros(len(self.valid), np.int64)
+        for k, most in own.items():
+            shared += np.minimum(self.held[k], most)
+        both = self.size + len(x)
+        bound = np.where(both > 0, 2.0 * shared / np.maximum(both, 1), 1.0)
+        near = np.flatnonzero(bound >= cutoff)
+        if len(x) <= SHORT:
+            short = near[(self.size[near] <= SHORT) & (both[near] > 0)]
+            bound[short] = 2.0 * self.common(x, short) / both[short]
+            near = near[bound[near] >= cutoff]
+        near = near[np.argsort(-bound[near], kind="stable")]
+        match = SequenceMatcher()
+        match.set_seq2(x)
+        best: list[tuple[float, str]] = []
+        for j in near:
+            y = self.valid[j]
+            if len(best) == n and (bound[j], y) < best[-1]:
+                break
+            match.set_seq1(y)
+            if (r := match.ratio()) >= cutoff and (len(best) < n or (r, y) > best[-1]):
+                best = sorted([*best, (r, y)], reverse=True)[:n]
+        return [(y, r) for r, y in best]
 
 
 def suggestions(missing: DataFrame, ids: DataFrame, n: int = 5, cutoff: float = 0.4) -> DataFrame:
     """missing (id) with ``similar``: up to n of ids (id) by difflib's ratio of ``cutoff`` or more, the best first, equal
-    ones in falling order. Valid ids go in blocks of MAX_VALID, and each pass keeps n for each missing id."""
-    asked = missing.select("id").where("id is not null").distinct()
-    found = asked.sparkSession.createDataFrame([], SIMILAR)
+    ones in falling order. Valid ids go in blocks of MAX_VALID, and each pass keeps n for each missing id. Missing ids are
+    dealt out over all cores, few as their bytes are."""
+    spark = missing.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = missing.select("id").where("id is not null").distinct().repartition(parts, F.xxhash64("id"))  # by the id itself it would be left out
+    found = spark.createDataFrame([], SIMILAR)
 
     def one(valid: list[str]) -> DataFrame:
-        def close(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                rows = [(x, y, SequenceMatcher(None, y, x).ratio()) for x in p["id"] for y in get_close_matches(x, valid, n=n, cutoff=cutoff)]
-                yield pd.DataFrame(rows, columns=["id", "other", "ratio"])
+        def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            among = None
+            for p in batches:
+                for i in range(0, len(p), EACH):
+                    among = among or Closest(valid)
+                    rows = [(x, y, r) for x in p["id"][i : i + EACH] for y, r in among.to(x, n, cutoff)]
+                    yield pd.DataFrame(rows, columns=["id", "other", "ratio"])
 
         return asked.mapInPandas(close, SIMILAR)
 
